@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.operators.bitemporal import attributes_as_known
+from tidemill.operators.faults import flag_faults
 from tidemill.operators.regrid import regular_grid
 from tidemill.operators.rolling import distinct_times_per_day, latest_per_day, rolling_totals
 from tidemill.operators.timestamps import normalise_timestamps
@@ -71,6 +72,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.where("missing").select(*SERIES, "period_start")
 
 
+def p5_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every faulty bar with the kind of its fault."""
+    bars = table(spark, sf_dir, "bars").select("bar_id", *SERIES, "timestamp", "close")
+    return flag_faults(bars, SERIES, "timestamp", "close", "bar_id")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_faults(spark, sf_dir).select("bar_id")
+
+
 def p6_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three time texts of every record, each with its instant or none."""
     ev = table(spark, sf_dir, "legal_events").select("event_seq", "jurisdiction", *TIME_FIELDS)
@@ -83,4 +94,36 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_instants(spark, sf_dir).where("instant_us IS NOT NULL").select("event_seq", "field", "instant_us")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p6_found, p1_known, p2_rolling, p3_grid, p6_instants)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p5_found, p6_found, p1_known, p2_rolling, p3_grid, p5_faults, p6_instants)}
+
+_DAILY = """
+WITH daily AS (
+  SELECT 'n_valid_window' AS measure, feed_id, symbol, day, coalesce(nv, 0) AS value FROM (
+    SELECT feed_id, symbol, (timestamp AT TIME ZONE 'UTC')::DATE AS day, n_valid_window AS nv,
+      row_number() OVER (PARTITION BY feed_id, symbol, (timestamp AT TIME ZONE 'UTC')::DATE ORDER BY recorded_at DESC, param_id) AS rn
+    FROM dynamics_params) WHERE rn = 1
+  UNION ALL
+  SELECT 'close', feed_id, symbol, (timestamp AT TIME ZONE 'UTC')::DATE, count(DISTINCT timestamp)
+  FROM bars WHERE close IS NOT NULL GROUP BY ALL),
+spans AS (SELECT measure, feed_id, symbol, min(day) AS a, max(day) AS b FROM daily GROUP BY ALL),
+calendar AS (SELECT measure, feed_id, symbol, unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS day FROM spans),
+dense AS (
+  SELECT c.*, coalesce(d.value, 0) AS value, d.measure IS NOT NULL AS active
+  FROM calendar c LEFT JOIN daily d USING (measure, feed_id, symbol, day)),
+rolled AS (
+  SELECT *, CAST(sum(value) OVER w7 AS BIGINT) AS total_7, CAST(sum(value) OVER w30 AS BIGINT) AS total_30 FROM dense
+  WINDOW w7 AS (PARTITION BY measure, feed_id, symbol ORDER BY day ROWS 6 PRECEDING),
+    w30 AS (PARTITION BY measure, feed_id, symbol ORDER BY day ROWS 29 PRECEDING))
+"""
+
+ORACLES = {
+    "p2_found": _DAILY + "SELECT measure, feed_id, symbol, strftime(day, '%Y-%m-%d') AS day FROM rolled WHERE active AND 60 * total_7 < 7 * total_30",
+    "p2_rolling": _DAILY + "SELECT measure, feed_id, symbol, day, CAST(value AS BIGINT) AS value, active, total_7, total_30, total_7 / 7.0::DOUBLE AS avg_7, total_30 / 30.0::DOUBLE AS avg_30 FROM rolled",
+    "p3_found": """
+WITH r AS (
+  SELECT DISTINCT b.feed_id, b.symbol, s.bar_seconds::BIGINT AS step,
+    epoch_us(b.timestamp) // (s.bar_seconds::BIGINT * 1000000) AS p, epoch_us(b.timestamp) // 86400000000 AS d
+  FROM bars b JOIN series s USING (feed_id, symbol) WHERE close IS NOT NULL),
+n AS (SELECT *, lead(p) OVER (PARTITION BY feed_id, symbol, d ORDER BY p) AS nx FROM r)
+SELECT feed_id, symbol, unnest(range(p + 1, nx)) * step AS period_start FROM n WHERE nx > p + 1""",
+}
