@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.llm.contamination import leaked_passages
 from tidemill.llm.nearest_stream import best_candidates, pair_by_nearest_time, replay
+from tidemill.llm.tokenizer import token_ids
+from tidemill.session import table
 
 SERIES = ["feed_id", "symbol"]
 NEAR_US = 900_000_000
@@ -33,7 +37,31 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_nearest(spark, sf_dir).select("event_seq", "bar_id")
 
 
-QUERIES = [p4_found, p4_nearest]
+def vocabulary_path() -> str:
+    """Where the byte-level BPE vocabulary lies: TIDEMILL_VOCABULARY, else the installed public files."""
+    if own := os.environ.get("TIDEMILL_VOCABULARY"):
+        return own
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of every document."""
+    return token_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", vocabulary_path()).select("doc_id", "ids")
+
+
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that carries a passage of a benchmark item, with its place."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return leaked_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", items, "item_id", "text")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+QUERIES = [p4_found, p4_nearest, p7_ids, p8_found, p8_leaks]
 
 _NEAREST = """
 WITH pts AS (
