@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemill.llm.contamination import leaked_passages
 from tidemill.llm.nearest_stream import best_candidates, pair_by_nearest_time, replay
 from tidemill.llm.tokenizer import token_ids
+from tidemill.llm.toxicity import fit, rates, score_documents
 from tidemill.session import table
 
 SERIES = ["feed_id", "symbol"]
@@ -61,7 +62,23 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
-QUERIES = [p4_found, p4_nearest, p7_ids, p8_found, p8_leaks]
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its score for abusive, hateful or sexual passages."""
+    documents = table(spark, sf_dir, "documents")
+    model = fit(documents, table(spark, sf_dir, "labels"))
+    return score_documents(documents.select("doc_id", "source", "text"), model).drop("text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_scores(spark, sf_dir).where("marked").select("doc_id")
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rate of marked documents of each source."""
+    return rates(p9_scores(spark, sf_dir))
+
+
+QUERIES = [p4_found, p4_nearest, p7_ids, p8_found, p8_leaks, p9_found, p9_scores, p9_rates]
 
 _NEAREST = """
 WITH pts AS (
