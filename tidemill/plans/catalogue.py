@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.plans import core_problems
+from tidemill.plans import core_problems, series_queries
+
+FAMILIES = (series_queries,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**core_problems.QUERIES}
+    found = dict(core_problems.QUERIES)
+    for f in FAMILIES:
+        found |= f.query.queries
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**core_problems.ORACLES}
+    found = dict(core_problems.ORACLES)
+    for f in FAMILIES:
+        found |= f.query.oracles
+    return found
