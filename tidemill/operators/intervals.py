@@ -89,10 +89,12 @@ def greedy_accept(entries: DataFrame, keys: Sequence[str], by: Sequence[str] = (
     e = e.withColumn("__alone", F.count(F.lit(1)).over(W.partitionBy(*g, "__c")) == 1)
     schema = T.StructType([*entries.schema.fields, T.StructField("accepted", T.BooleanType())])
 
+    names = entries.columns
+
     def choose(t: pa.Table) -> pa.Table:
         t = t.sort_by("source_index")
         ok = _greedy(t["source_index"].to_numpy(), t["__end"].to_numpy())
-        return t.select(entries.columns).append_column("accepted", pa.array(ok))
+        return t.select(names).append_column("accepted", pa.array(ok))
 
     alone = e.where("__alone").select(*entries.columns, F.lit(True).alias("accepted"))
     return e.where("NOT __alone").groupBy(*g, "__c").applyInArrow(choose, schema).unionByName(alone)
