@@ -8,6 +8,7 @@ can still reach are evicted.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,23 @@ LEFT, RIGHT, HEARTBEAT = 0, 1, 2
 _STATE = T.StructType([T.StructField(n, T.BinaryType()) for n in ("left_us", "left_id", "right_us", "right_id")])
 
 
+@dataclass
+class Pairing:
+    """A streaming plan and the folder whose rows tell it that its sources have ended."""
+
+    plan: DataFrame
+    heartbeats: str
+
+    def finish(self, spark: SparkSession) -> None:
+        """No more rows will come: let the watermark pass every waiting one."""
+        spark.sql("SELECT timestamp'2260-01-01 00:00:00' AS ts").coalesce(1).write.mode("append").parquet(self.heartbeats)
+
+
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def nearest(left_us: np.ndarray, right_us: np.ndarray, right_id: np.ndarray, tolerance: int) -> tuple[np.ndarray, np.ndarray]:
     """For each left time the position of its right row (and whether there is one).
 
@@ -90,7 +108,7 @@ def pair_by_nearest_time(
     tolerance_us: int,
     delay: str = "0 seconds",
     slot_us: int = 14 * 86_400_000_000,
-) -> DataFrame:
+) -> Pairing:
     """The streaming plan: candidates (k0.., left_us, left_id, right_us, right_id).
 
     ``left`` and ``right`` are streaming frames with integer ids that are unique per
@@ -114,19 +132,16 @@ def pair_by_nearest_time(
     lt = side(left, left_ts, left_id, LEFT)
     lt = lt.withColumn("slot", F.explode(F.sequence(F.expr(floor_div(f"us - {tolerance_us}")), F.expr(floor_div(f"us + {tolerance_us}")))))
     rt = side(right, right_ts, right_id, RIGHT).withColumn("slot", F.expr(floor_div("us")))
-    beat = _heartbeat(left.sparkSession).select(*(F.lit(None).cast("string").alias(n) for n in kn), "ts", F.lit(0).cast("long").alias("id"), F.unix_micros("ts").alias("us"), F.lit(HEARTBEAT).alias("side"), F.lit(0).cast("long").alias("slot"))
+    beats = fresh_path(left.sparkSession, "heartbeats")
+    fs, p = _file_system(left.sparkSession, beats)
+    fs.mkdirs(p)
+    beat = left.sparkSession.readStream.schema("ts timestamp").parquet(beats).select(*(F.lit(None).cast("string").alias(n) for n in kn), "ts", F.lit(0).cast("long").alias("id"), F.unix_micros("ts").alias("us"), F.lit(HEARTBEAT).alias("side"), F.lit(0).cast("long").alias("slot"))
     cols = [*kn, "slot", "ts", "us", "id", "side"]
     both = lt.select(*cols).unionAll(rt.select(*cols)).unionAll(beat.select(*cols)).withWatermark("ts", delay)
     step, out = _pairing(tolerance_us, len(kn))
     schema = T.StructType([*(T.StructField(n, T.StringType()) for n in kn), *(T.StructField(c, T.LongType()) for c in out[len(kn) :])])
-    return both.groupBy(*kn, "slot").applyInPandasWithState(step, schema, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def _heartbeat(spark: SparkSession) -> DataFrame:
-    """A stream of one far row, which carries the watermark past the end of a bounded replay."""
-    path = fresh_path(spark, "heartbeat")
-    spark.sql("SELECT timestamp'2260-01-01 00:00:00' AS ts").coalesce(1).write.parquet(path)
-    return spark.readStream.schema("ts timestamp").parquet(path)
+    plan = both.groupBy(*kn, "slot").applyInPandasWithState(step, schema, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return Pairing(plan, beats)
 
 
 def best_candidates(found: DataFrame, keys: Sequence[str], left_id: str, right_id: str) -> DataFrame:
@@ -137,17 +152,26 @@ def best_candidates(found: DataFrame, keys: Sequence[str], left_id: str, right_i
     return one.select(*(F.col(n).alias(k) for n, k in zip(kn, keys)), F.col("left_id").alias(left_id), F.col("b.right_id").alias(right_id), (F.col("b.right_us") - F.col("left_us")).alias("gap_us"))
 
 
-def replay(stream: DataFrame) -> DataFrame:
+def replay(pairing: Pairing) -> DataFrame:
     """Run a bounded stream to its end into the shared folder and read what it emitted.
 
-    Everything available is one batch, so no row can be late whatever the order of
-    arrival; the heartbeat's batch then emits what waits.  State and progress are
-    kept in the shared folder while it runs, so a lost executor's tasks start again.
+    Unless the sources bound their batches, everything available is one batch, so no row
+    can be late whatever the order of arrival.  When the sources are exhausted a heartbeat
+    carries the watermark past their end, and the same query goes on to emit what still
+    waits.  State and progress are kept in the shared folder while it runs, so a lost
+    executor's tasks start again.
     """
+    stream = pairing.plan
     spark = stream.sparkSession
     out, progress = fresh_path(spark, "paired"), fresh_path(spark, "paired-progress")
-    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", progress).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    p = spark._jvm.org.apache.hadoop.fs.Path(progress)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    def run() -> None:
+        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", progress).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    run()
+    pairing.finish(spark)
+    run()
+    fs, p = _file_system(spark, progress)
+    fs.delete(p, True)
     return spark.read.schema(stream.schema).parquet(out)
