@@ -2,6 +2,7 @@ import math
 import random
 from datetime import date, datetime, timedelta
 
+import numpy as np
 import pytest
 
 from tidemill.operators.regrid import regular_grid
@@ -53,6 +54,8 @@ def test_grid_marks_missing_periods(spark):
 def test_days_are_apart(spark):
     rows = [("a", T0 + timedelta(hours=h), 1.0, 3600, "") for h in (1, 3, 30, 33)]
     got = regular_grid(readings(spark, rows), ["key"], "ts", "y", "step", extent="day").where("missing").count()
+    whole = [r.period_start for r in regular_grid(readings(spark, rows), ["key"], "ts", "y", "step").orderBy("period_start").collect()]
+    assert len(set(whole)) == len(whole) == 33 and set(np.diff(whole)) == {3600}
     assert got == 1 + 2
     assert regular_grid(readings(spark, rows), ["key"], "ts", "y", "step").where("missing").count() == 33 - 4  # periods 1 to 33, four of them with a reading
 

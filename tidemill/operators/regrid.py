@@ -60,14 +60,19 @@ def regular_grid(
         s("__w", "s0"), s("__w * __d", "s1"), s("__w * __d * __d", "s2"),
         s("__w * __y", "t0"), s("__w * __d * __y", "t1"), s("__w * __w", "q"),
     )
-    # lay out the periods that no reading reaches
-    day = ["__day"] if extent == "day" else []
-    if day:
-        m = m.withColumn("__day", F.expr("floor(__g * __step / 86400)"))
-    w = W.partitionBy(*kn, "__step", *day).orderBy("__g")
-    all_w = W.partitionBy(*kn, "__step", *day)
+    # lay out the periods that no reading reaches, day by day: no window holds more than a
+    # source's day; where the grid goes on over days, a summary of the days tells each
+    # one's last period how far the next is
+    m = m.withColumn("__day", F.expr("(__g * __step - pmod(__g * __step, 86400)) div 86400"))
+    day = [*kn, "__step", "__day"]
+    w, all_w = W.partitionBy(*day).orderBy("__g"), W.partitionBy(*day)
     seen = F.when(F.col("n_readings") > 0, F.col("__g"))
     m = m.withColumns({"__next": F.lead("__g").over(w), "__first": F.min(seen).over(all_w), "__last": F.max(seen).over(all_w)})
+    if extent == "series":
+        days = m.groupBy(*day).agg(F.min("__g").alias("__opens"), F.min(seen).alias("__f"), F.max(seen).alias("__l"))
+        along, whole = W.partitionBy(*kn, "__step").orderBy("__day"), W.partitionBy(*kn, "__step")
+        days = days.select(*day, F.lead("__opens").over(along).alias("__then"), F.min("__f").over(whole).alias("__f"), F.max("__l").over(whole).alias("__l"))
+        m = m.join(days, day).withColumns({"__next": F.coalesce("__next", "__then"), "__first": F.col("__f"), "__last": F.col("__l")})
     m = m.where("__g BETWEEN __first AND __last")
     m = m.withColumn("__e", F.explode(F.sequence(F.col("__g"), F.expr("least(coalesce(__next - 1, __g), __last)"))))
     own = F.col("__e") == F.col("__g")

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIRS: dict[str, str] = {}
+_WRITTEN: list[str] = []
 
 
 def build_session(app: str = "tidemill", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -53,7 +54,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Remove what this driver has written to the shared folder; results that still read
+    from it can't be used any more.  Returns how many paths there were."""
+    n = len(_WRITTEN)
+    for path in _WRITTEN:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _WRITTEN.clear()
+    return n
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
