@@ -33,7 +33,7 @@ MAX_POSITIVE, MAX_NEGATIVE = 6_000, 24_000
 #: Distinct passages of those documents that become examples.
 MAX_EXAMPLES = 160_000
 #: Least similarity of a neighbour, neighbours that vote, weight of closeness, weight of the prior.
-REACH, NEIGHBOURS, POWER, PRIOR_WEIGHT = 0.35, 25, 4, 0.25
+REACH, NEIGHBOURS, POWER, PRIOR_WEIGHT = 0.35, 25, 2, 0.25
 #: A document is marked from this score on; a marked one speaks for its worst passage and
 #: those at most so much below it; an example votes like at most so many documents.
 MARKED, MARGIN, MOST_VOTES = 0.5, 0.15, 8
@@ -273,7 +273,8 @@ def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
             share = int(1_000_000 * most / n[v])
             m = m.where((F.col("mark") != v) | (F.pmod(F.xxhash64("doc"), F.lit(1_000_000)) < share))
     d = documents.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    own = d.join(m, "doc").select("doc", "mark", "text").mapInArrow(_passages_of, "doc long, mark int, passage string")
+    # the sample is bounded by the two limits, so it may be sent to every task
+    own = d.join(F.broadcast(m), "doc").select("doc", "mark", "text").mapInArrow(_passages_of, "doc long, mark int, passage string")
     g = own.groupBy("passage").agg(F.sum("mark").alias("positive"), F.count(F.lit(1)).alias("total"), F.collect_list(F.when(F.col("mark") == 1, F.col("doc"))).alias("docs"))
     g = materialize(g, "examples")
     every = g.count()
