@@ -89,8 +89,8 @@ def test_stability_and_replay():
         s = a @ s
         assert np.allclose(out[i], s[:2] + 0.1)
     first, _, mid = D.replay(xs[:10], one[:10] * 0.1, one[:10] * k, one[:10] * g, c, 60.0)
-    rest, _, _ = D.replay(xs[9:], one[9:] * 0.1, one[9:] * k, one[9:] * g, c, 60.0, tuple(mid))
-    assert np.allclose(np.concatenate([first, rest[1:]]), out) and held[0] and not held[1:].any()
+    rest, _, _ = D.replay(xs[10:], one[10:] * 0.1, one[10:] * k, one[10:] * g, c, 60.0, mid)
+    assert np.allclose(np.concatenate([first, rest]), out) and held[0] and not held[1:].any()
     unstable, held, _ = D.replay(xs, one, one * 1e3, one * 0.0, c, 60.0)
     assert held.all() and np.allclose(unstable, xs)
 

@@ -43,31 +43,45 @@ def stable_steps(kappa: np.ndarray, gamma: np.ndarray, coupling: np.ndarray) ->
     return starts, float(DT_GRID[ok].max()) if ok.any() else 0.0
 
 
-def replay(xs: np.ndarray, x_eq: np.ndarray, kappa: np.ndarray, gamma: np.ndarray, coupling: np.ndarray, dt: float, state: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Forecasts of a segment's rows, whether each was held, and the last (x, v).
+class Replayer:
+    """Row-by-row replay: position, speed and the parameters in force at the row before.
 
-    Row 0 resets to the observation at rest, unless ``state`` goes on from an earlier part.
-    Parameters are those in force at the row before.  Negative curvature is taken as none;
-    a configuration over a limit holds the observed value.
+    A row that starts anew resets to the observation at rest.  Negative curvature is taken
+    as none; a configuration over a limit holds the observed value.  Parameters change
+    rarely, so the verdict on the last configuration is kept.
     """
-    n = xs.shape[1]
-    x, v = (xs[0].copy(), np.zeros(n)) if state is None else (state[0].copy(), state[1].copy())
-    out, held = [x.copy()], [state is None]
-    last, steady = None, True
-    for i in range(1, len(xs)):
-        k, g, q = np.maximum(kappa[i - 1], 0.0), gamma[i - 1], x_eq[i - 1]
-        config = (k.tobytes(), g.tobytes())
-        if config != last:  # parameters change once a day
-            m = stability(k, g, coupling, dt)
-            last, steady = config, m["radius"] <= RADIUS_LIMIT and m["growth"] <= GROWTH_LIMIT
-        if steady:
-            v = (v + dt * (-k * (x - q) + coupling @ (dt * v))) / (1.0 + dt * g)
-            x = x + dt * v
-        else:
-            x, v = xs[i].copy(), np.zeros(n)
-        out.append(x.copy())
-        held.append(not steady)
-    return np.array(out), np.array(held), np.array([x, v])
+
+    def __init__(self, n: int):
+        self.x, self.v, self.before = np.zeros(n), np.zeros(n), None
+        self.known: tuple | None = None
+        self.steady = True
+
+    def row(self, x: np.ndarray, x_eq: np.ndarray, kappa: np.ndarray, gamma: np.ndarray, coupling: np.ndarray | None, dt: float, anew: bool) -> tuple[np.ndarray, bool]:
+        """Forecast of a row, and whether the observation was taken instead."""
+        held = anew or self.before is None
+        if not held:
+            q, k, g, c = self.before
+            config = (k.tobytes(), g.tobytes(), dt)
+            if config != self.known:
+                m = stability(k, g, np.zeros((len(k), len(k))) if c is None else c, dt)
+                self.known, self.steady = config, m["radius"] <= RADIUS_LIMIT and m["growth"] <= GROWTH_LIMIT
+            held = not self.steady
+            if not held:
+                push = 0.0 if c is None else c @ (dt * self.v)
+                self.v = (self.v + dt * (push - k * (self.x - q))) / (1.0 + dt * g)
+                self.x = self.x + dt * self.v
+        if held:
+            self.x, self.v = x.astype(float), np.zeros(len(x))
+        self.before = (x_eq, np.maximum(kappa, 0.0), gamma, coupling)
+        return self.x, held
+
+
+def replay(xs: np.ndarray, x_eq: np.ndarray, kappa: np.ndarray, gamma: np.ndarray, coupling: np.ndarray, dt: float, state: Replayer | None = None) -> tuple[np.ndarray, np.ndarray, Replayer]:
+    """Forecasts of a segment's rows, whether each was held, and the state after them; with
+    ``state`` the rows go on from an earlier part."""
+    r = Replayer(xs.shape[1]) if state is None else state
+    got = [r.row(x, q, k, g, coupling, dt, state is None and i == 0) for i, (x, q, k, g) in enumerate(zip(xs, x_eq, kappa, gamma))]
+    return np.array([g[0] for g in got]), np.array([g[1] for g in got]), r
 
 
 def ridge_matrix(xy: np.ndarray, xx: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, float]:

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemill.operators.sequential import ordered_scan
+
 
 def _w(keys: Sequence[str]):
     return W.partitionBy(*keys).orderBy("source_index")
@@ -64,21 +65,24 @@ def overlap_counts(entries: DataFrame, keys: Sequence[str]) -> DataFrame:
     return u.withColumn("overlap", over).select(*entries.columns, "active", "overlap")
 
 
-def _greedy(start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    out, open_until = np.zeros(len(start), dtype=bool), None
-    for i, (s, e) in enumerate(zip(start.tolist(), end.tolist())):
-        if open_until is None or s > open_until:
-            out[i], open_until = True, e
-    return out
+def _choose(open_until: int | None, batch: pa.RecordBatch) -> tuple[int | None, dict[str, pa.Array]]:
+    start, end, anew = (batch[c].to_pylist() for c in ("source_index", "__end", "__new"))
+    out = []
+    for s, e, n in zip(start, end, anew):
+        take = bool(n) or open_until is None or s > open_until
+        if take:
+            open_until = e
+        out.append(take)
+    return open_until, {"accepted": pa.array(out)}
 
 
 def greedy_accept(entries: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Eligible rows with ``accepted``: taken in order when they start after the end of the
     last one taken in their segment (and group ``by``).
 
-    The choice is a chain and so runs in Python, one group a (key, segment, cluster): where
-    no earlier interval reaches a row the chain starts anew, so long segments are cut into
-    their clusters and no group is larger than a run of overlapping entries.
+    The choice is a chain and so runs in Python, as one ordered scan whose whole state is
+    the end of the last taken row.  Where no earlier interval reaches a row the chain starts
+    anew, so long segments are spread by their clusters.
     """
     g = [*keys, "segment_id", *by]
     w = W.partitionBy(*g).orderBy("source_index")
@@ -86,18 +90,8 @@ def greedy_accept(entries: DataFrame, keys: Sequence[str], by: Sequence[str] = (
     reach = F.max("__end").over(w.rowsBetween(W.unboundedPreceding, -1))
     e = e.withColumn("__new", F.coalesce(F.col("source_index") > reach, F.lit(True)).cast("long"))
     e = e.withColumn("__c", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    e = e.withColumn("__alone", F.count(F.lit(1)).over(W.partitionBy(*g, "__c")) == 1)
-    schema = T.StructType([*entries.schema.fields, T.StructField("accepted", T.BooleanType())])
-
-    names = entries.columns
-
-    def choose(t: pa.Table) -> pa.Table:
-        t = t.sort_by("source_index")
-        ok = _greedy(t["source_index"].to_numpy(), t["__end"].to_numpy())
-        return t.select(names).append_column("accepted", pa.array(ok))
-
-    alone = e.where("__alone").select(*entries.columns, F.lit(True).alias("accepted"))
-    return e.where("NOT __alone").groupBy(*g, "__c").applyInArrow(choose, schema).unionByName(alone)
+    done = ordered_scan(e, [*g, "__c"], [*g, "source_index"], _choose, {"accepted": T.BooleanType()})
+    return done.select(*entries.columns, "accepted")
 
 
 def turnover(entries: DataFrame, keys: Sequence[str], weights: Sequence[str]) -> DataFrame:

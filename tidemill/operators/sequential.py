@@ -6,7 +6,7 @@ cluster and no state crosses them.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +51,27 @@ def per_segment(rows: DataFrame, keys: Sequence[str], body: Callable[[np.ndarray
     return rows.groupBy(*group).applyInArrow(run, schema)
 
 
+def ordered_scan(rows: DataFrame, spread: Sequence[str], order: Sequence[str], step: Callable[[object, pa.RecordBatch], tuple[object, dict[str, pa.Array]]], added: dict[str, T.DataType]) -> DataFrame:
+    """Pass over each partition in order with a small state, adding columns.
+
+    Rows are spread by the columns ``spread`` and sorted by ``order``; ``step(state, batch)``
+    gives the state after a batch and the added columns.  It must start anew wherever a
+    row says so (a flag computed beforehand), for a partition holds many groups one after
+    another.  No group is ever held as a whole, whatever its length.
+    """
+    names = rows.columns
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(n, k) for n, k in added.items())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None
+        for b in batches:
+            if b.num_rows:
+                state, cols = step(state, b)
+                yield pa.RecordBatch.from_arrays([*b.columns, *(cols[n] for n in added)], [*names, *added])
+
+    return rows.repartition(*spread).sortWithinPartitions(*order).mapInArrow(run, schema)
+
+
 def standardised(xs: np.ndarray, half_life: float = 1440.0, start: float = 1e-8, most: float = 5.0) -> np.ndarray:
     """Returns over the volatility known before them, clipped; row 0 has none.
 

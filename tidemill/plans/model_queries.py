@@ -15,7 +15,7 @@ from tidemill.operators import dynamics as D
 from tidemill.operators import factors as X
 from tidemill.operators import filters as Q
 from tidemill.operators import joins as J
-from tidemill.operators.sequential import panel_segments, per_segment, standardised
+from tidemill.operators.sequential import ordered_scan, panel_segments, per_segment, standardised
 from tidemill.plans.base import KEYS, Registry, grid
 from tidemill.plans.join_queries import SYMBOLS, mid
 from tidemill.plans.scoring_queries import _parts
@@ -225,14 +225,21 @@ def replay(spark: SparkSession, d: str) -> DataFrame:
     g = g.select(*KEYS, "segment_id", "step", "k", "x", ((F.col("k") + 1) * F.col("step") * 1_000_000).alias("us"))
     p = _configurations(spark, d).where("x_eq IS NOT NULL").select(*KEYS, F.unix_micros("timestamp").alias("t"), "kappa", "gamma", "x_eq")
     rows = J.asof(g, p, KEYS, "us", "t", ["kappa", "gamma", "x_eq"]).where("kappa IS NOT NULL")
-
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        t = t.sort_by("k")
-        one = lambda c: t[c].to_numpy().reshape(-1, 1)
-        x, held, _ = D.replay(one("x"), one("x_eq"), one("kappa"), one("gamma"), np.zeros((1, 1)), float(t["step"][0].as_py()))
-        return pa.table({"feed_id": t["feed_id"], "symbol": t["symbol"], "segment_id": t["segment_id"], "k": t["k"], "forecast": x[:, 0], "error": x[:, 0] - t["x"].to_numpy(), "held": held})
-
-    return rows.groupBy(*KEYS, "segment_id").applyInArrow(run, "feed_id string, symbol string, segment_id long, k long, forecast double, error double, held boolean")
+    # a segment starts anew at its first row with parameters
+    first = F.row_number().over(W.partitionBy(*KEYS, "segment_id").orderBy("k")) == 1
+    rows = rows.select(*KEYS, "segment_id", "step", "k", "x", "kappa", "gamma", "x_eq", first.alias("first"))
+
+    def advance(state, b: pa.RecordBatch):
+        cols = [b[c].to_numpy(zero_copy_only=False) for c in ("x", "x_eq", "kappa", "gamma", "step", "first")]
+        state = state or D.Replayer(1)
+        out, held = np.empty(b.num_rows), np.empty(b.num_rows, dtype=bool)
+        for i, (x, q, k, g, dt, anew) in enumerate(zip(*cols)):
+            y, held[i] = state.row(np.array([x]), np.array([q]), np.array([k]), np.array([g]), None, float(dt), bool(anew))
+            out[i] = y[0]
+        return state, {"forecast": pa.array(out), "held": pa.array(held)}
+
+    done = ordered_scan(rows, [*KEYS, "segment_id"], [*KEYS, "segment_id", "k"], advance, {"forecast": N, "held": B})
+    return done.select(*KEYS, "segment_id", "k", "forecast", (F.col("forecast") - F.col("x")).alias("error"), "held")
 
 
 @query()
