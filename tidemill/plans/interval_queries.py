@@ -166,3 +166,31 @@ def policy_summary(spark: SparkSession, d: str) -> DataFrame:
 def basket_signature(spark: SparkSession, d: str) -> DataFrame:
     """Component and weights to six places, as one key."""
     return entries(spark, d).select(*KEYS, "source_index", F.concat_ws("|", F.col("component").cast("string"), F.round(F.col("w2") * 1e6).cast("long").cast("string")).alias("signature"))
+
+
+_CLUSTERS = (
+    _ENTRIES
+    + """,
+c0 AS (SELECT *, CASE WHEN segment_id = lag(segment_id) OVER w THEN 0 ELSE 1 END AS nr FROM en WINDOW w AS (PARTITION BY feed_id, symbol ORDER BY source_index)),
+c1 AS (SELECT *, sum(nr) OVER (PARTITION BY feed_id, symbol ORDER BY source_index ROWS UNBOUNDED PRECEDING) AS run FROM c0),
+c2 AS (SELECT *, max(source_index + horizon) OVER (PARTITION BY feed_id, symbol, run ORDER BY source_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c1),
+cl AS (SELECT *, CAST(sum(CASE WHEN reach IS NULL OR source_index > reach THEN 1 ELSE 0 END) OVER (PARTITION BY feed_id, symbol ORDER BY source_index ROWS UNBOUNDED PRECEDING) AS BIGINT) - 1 AS cluster FROM c2)"""
+)
+
+
+@query(f"WITH {_CLUSTERS} SELECT feed_id, symbol, segment_id, cluster, min(source_index) AS representative, count(*) AS n FROM cl WHERE eligible GROUP BY ALL")
+def cluster_representative(spark: SparkSession, d: str) -> DataFrame:
+    """The first eligible entry of each (segment, cluster)."""
+    c = I.target_clusters(entries(spark, d), KEYS).where("eligible")
+    return c.groupBy(*KEYS, "segment_id", "cluster").agg(F.min("source_index").alias("representative"), F.count(F.lit(1)).alias("n"))
+
+
+@query(_greedy_sql(["feed_id", "symbol", "segment_id"]).replace("\nSELECT feed_id, symbol, source_index, accepted FROM t", """,
+ep0 AS (SELECT *, CASE WHEN eligible AND NOT coalesce(lag(eligible) OVER w AND lag(component) OVER w = component AND lag(segment_id) OVER w = segment_id AND source_index - lag(source_index) OVER w <= 2, false) THEN 1 ELSE 0 END AS nw FROM en WINDOW w AS (PARTITION BY feed_id, symbol ORDER BY source_index))
+SELECT feed_id, symbol, count(*) FILTER (eligible) AS every_row, sum(nw)::BIGINT AS first_per_episode, (SELECT count(*) FROM t WHERE t.accepted AND t.feed_id = ep0.feed_id AND t.symbol = ep0.symbol) AS non_overlapping FROM ep0 GROUP BY feed_id, symbol"""))
+def policy_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Entries that each policy takes: all, the first of an episode, no overlaps."""
+    e = entries(spark, d)
+    n = I.episodes(e, KEYS, 1).groupBy(*KEYS).agg(F.count_if("eligible").alias("every_row"), F.count_distinct(F.when(F.col("eligible"), F.col("episode"))).alias("first_per_episode"))
+    g = I.greedy_accept(e, KEYS).groupBy(*KEYS).agg(F.count_if("accepted").alias("non_overlapping"))
+    return n.join(g, KEYS, "left").fillna(0, ["non_overlapping"])

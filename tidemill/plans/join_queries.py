@@ -302,3 +302,15 @@ def snapshot_change(spark: SparkSession, d: str) -> DataFrame:
     c = _coupling(spark, d).withColumn("c", F.expr("try_divide(xy, xx)")).withColumn("p", F.lag("c").over(w)).where("c IS NOT NULL AND p IS NOT NULL")
     s = c.groupBy("day").agg(F.sqrt(F.sum(F.expr("(c - p) * (c - p)"))).alias("delta"), F.sqrt(F.sum(F.expr("p * p"))).alias("size")).withColumn("rel", F.expr("try_divide(delta, size)"))
     return s.select("day", rd("delta", 5).alias("delta"), rd("rel", 5).alias("relative"), F.coalesce(F.col("rel") >= 0.5, F.lit(False)).alias("regime_break"))
+
+
+@query(f"""WITH {_PAIRS}, p AS (SELECT event_seq, coalesce(sum(exposure) FILTER (symbol = 'EURUSD'), 0) AS a, coalesce(sum(exposure) FILTER (symbol = 'GBPUSD'), 0) AS b, coalesce(sum(exposure) FILTER (symbol = 'EURGBP'), 0) AS c FROM pairs GROUP BY event_seq)
+SELECT event_seq, round(a - c, 9) + 0.0 AS w_eurusd, round(b + c, 9) + 0.0 AS w_gbpusd, round(c, 9) + 0.0 AS w_eurgbp FROM p""")
+def dual_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Signals on the basis (EURUSD, GBPUSD, triangle residual) as weights of the pairs:
+    the transpose of the transform, not its inverse."""
+    ev = table(spark, d, "legal_events").select("event_seq", F.map_filter("pair_exposures", lambda _, v: v != 0).alias("m")).where("size(m) > 0")
+    s = {n: F.coalesce(F.try_element_at("m", F.lit(n)), F.lit(0.0)) for n in TRIANGLE}
+    t = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [-1.0, 1.0, 1.0]]  # rows: basis, columns: pairs in order of TRIANGLE
+    w = [sum((s[n] * t[i][j] for i, n in enumerate(TRIANGLE)), F.lit(0.0)) for j in range(3)]
+    return ev.select("event_seq", *(rd(c).alias(f"w_{n.lower()}") for n, c in zip(TRIANGLE, w)))

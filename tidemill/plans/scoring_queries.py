@@ -184,3 +184,28 @@ def audit_links(spark: SparkSession, d: str) -> DataFrame:
     w = W.partitionBy("feed_id").orderBy("event_seq")
     e = e.withColumn("prev", F.coalesce(F.lag("h").over(w), F.lit("0" * 64)))
     return e.select("feed_id", "event_seq", "prev", F.sha2(F.concat("prev", "h"), 256).alias("link"))
+
+
+@query(f"""WITH {_SPLIT}, all_tr AS (SELECT 'frozen' AS view, level, y FROM tr UNION ALL SELECT 'purged', level, y FROM tr, b WHERE day < split - 1 UNION ALL SELECT 'embargoed', level, y FROM tr, b WHERE day < split - 5),
+c AS (SELECT view, level, count(*) AS n, count(*) FILTER (y = 0) AS n0, count(*) FILTER (y = 1) AS n1, count(*) FILTER (y = 2) AS n2 FROM all_tr GROUP BY ALL),
+v AS (SELECT DISTINCT view FROM all_tr)
+SELECT v.view, count(*) AS n, round(avg(pow((coalesce(n0, 0) + 1) / (coalesce(c.n, 0) + 3.0::DOUBLE) - (y = 0)::INT, 2) + pow((coalesce(n1, 0) + 1) / (coalesce(c.n, 0) + 3.0::DOUBLE) - (y = 1)::INT, 2) + pow((coalesce(n2, 0) + 1) / (coalesce(c.n, 0) + 3.0::DOUBLE) - (y = 2)::INT, 2)), 7) + 0.0 AS brier
+FROM oo CROSS JOIN v LEFT JOIN c ON c.view = v.view AND c.level = oo.level GROUP BY v.view""")
+def comparator_views(spark: SparkSession, d: str) -> DataFrame:
+    """The same scored rows against climatologies of the frozen, the purged and the
+    embargoed training rows: one aggregate of training counts serves all three."""
+    tr, oo = _parts(spark, d)
+    views = {"frozen": 0, "purged": 1, "embargoed": 5}
+    split = forecasts(spark, d).agg((F.max("day") - 14).alias("split"))
+    t = tr.join(F.broadcast(split), F.lit(True))
+    counts = [F.count_if((F.col("y") == c) & (F.col("day") < F.col("split") - n)).alias(f"{v}_{c}") for v, n in views.items() for c in range(3)]
+    m = t.groupBy("level").agg(*counts)
+    s = oo.groupBy("level", "y").agg(F.count(F.lit(1)).alias("n")).join(m, "level", "left")
+    out = []
+    for v in views:
+        k = [F.coalesce(F.col(f"{v}_{c}"), F.lit(0)) for c in range(3)]
+        total = k[0] + k[1] + k[2] + 3
+        err = sum((F.pow((k[c] + 1) / total - (F.col("y") == c).cast("double"), F.lit(2.0)) for c in range(3)), F.lit(0.0))
+        out.append(F.struct(F.lit(v).alias("view"), (F.sum(F.col("n") * err) / F.sum("n")).alias("brier")))
+    one = s.agg(F.sum("n").alias("n"), F.array(*out).alias("v")).where("n IS NOT NULL")
+    return one.select("n", F.explode("v").alias("e")).select("e.view", "n", rd("e.brier", 7).alias("brier"))

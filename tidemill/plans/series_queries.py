@@ -282,3 +282,63 @@ def reason_counts(spark: SparkSession, d: str) -> DataFrame:
     e = edges(spark, d).withColumn("next_ok", F.coalesce(F.lead("contiguous").over(S.ordered(KEYS)), F.lit(False)))
     reason = F.when(~F.col("contiguous"), "post_gap_reset_skip").when(~F.col("next_ok"), "pre_gap_skip").when(F.abs("ret") < 1e-5, "quiet").otherwise("scored")
     return e.groupBy(*KEYS, reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""
+WITH {EDGES}, l AS (SELECT *, lag(ret) OVER (PARTITION BY feed_id, symbol ORDER BY k) AS r1 FROM e),
+p AS (SELECT *, CASE WHEN two_step THEN ret - 0.1 * r1 END AS eps, {_HOW} AS how FROM l),
+v AS (SELECT *, sqrt(avg(eps * eps) OVER (PARTITION BY feed_id, symbol ORDER BY k ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING)) AS sd, avg(abs(ret)) OVER (PARTITION BY feed_id, symbol, how) / nullif(avg(abs(ret)) OVER (PARTITION BY feed_id, symbol), 0) AS season FROM p)
+SELECT feed_id, symbol, k, round(CASE WHEN sd > 0 AND season > 0 THEN eps / (sd * sqrt(season)) END, 5) + 0.0 AS z FROM v""")
+def innovations(spark: SparkSession, d: str) -> DataFrame:
+    """Residuals standardised by the scale before them and the root of their season."""
+    e = edges(spark, d).withColumn("r1", F.lag("ret").over(S.ordered(KEYS))).withColumns({"eps": F.when(F.col("two_step"), F.col("ret") - 0.1 * F.col("r1")), "how": S.hour_of_week()})
+    sd = F.sqrt(F.avg(F.col("eps") * F.col("eps")).over(S.ordered(KEYS).rowsBetween(-50, -1)))
+    season = F.avg(F.abs("ret")).over(W.partitionBy(*KEYS, "how")) / F.avg(F.abs("ret")).over(W.partitionBy(*KEYS))
+    e = e.withColumns({"sd": sd, "m": F.avg(F.abs("ret")).over(W.partitionBy(*KEYS))})
+    e = e.withColumn("season", F.when(F.col("m") > 0, season))
+    return e.select(*KEYS, "k", rd(F.when(F.expr("sd > 0 AND season > 0"), F.col("eps") / (F.col("sd") * F.sqrt("season"))), 5).alias("z"))
+
+
+@query(f"""
+WITH {GRID}, h AS (SELECT symbol, CAST(k * step // 14400 AS BIGINT) AS h, feed_id, arg_max(close, k) AS close FROM g GROUP BY ALL),
+p AS (SELECT symbol, h, median(close) AS close FROM h GROUP BY ALL), b AS (SELECT h AS bound FROM p WHERE symbol = 'EURUSD' ORDER BY h DESC LIMIT 1 OFFSET 59),
+j AS (SELECT h, max(close) FILTER (symbol = 'EURUSD') AS EURUSD, max(close) FILTER (symbol = 'USDJPY') AS USDJPY FROM p, b WHERE h >= bound GROUP BY h)
+SELECT h, EURUSD, USDJPY FROM j WHERE EURUSD IS NOT NULL AND USDJPY IS NOT NULL""")
+def latest_common(spark: SparkSession, d: str) -> DataFrame:
+    """The last 60 instants of the reference symbol bound the scan, then the panel is inner."""
+    h = F.expr("cast(floor(k * step / 14400) as bigint)").alias("h")
+    p = grid(spark, d).where("symbol IN ('EURUSD', 'USDJPY')").groupBy(*KEYS, h).agg(F.max_by("close", "k").alias("close")).groupBy("symbol", "h").agg(F.median("close").alias("close"))
+    last = p.where("symbol = 'EURUSD'").orderBy(F.col("h").desc()).limit(60).agg(F.min("h").alias("bound"), F.count(F.lit(1)).alias("n")).where("n = 60")
+    from tidemill.operators.joins import panel
+
+    return panel(p.join(F.broadcast(last), F.lit(True)).where("h >= bound"), "h", "symbol", ["EURUSD", "USDJPY"], "close")
+
+
+@query("""
+WITH i AS (SELECT unnest(range(900)) AS i), r AS (SELECT i, CASE WHEN i >= 500 THEN i + 1 ELSE i END AS t, (i * 7919 % 1000 - 500) / 1e6 AS a, (i * 104729 % 1000 - 500) / 1e6 AS b FROM i),
+x AS (SELECT t, sum(a) OVER (ORDER BY i) AS ea, sum(b) OVER (ORDER BY i) AS gb FROM r)
+SELECT t, round(ea, 9) + 0.0 AS EURUSD, round(gb, 9) + 0.0 AS GBPUSD, round(ea - gb, 9) + 0.0 AS EURGBP FROM x""")
+def synthetic_panel(spark: SparkSession, d: str) -> DataFrame:
+    """900 rows of a closed triangle with one gap at row 500, from a rule."""
+    r = spark.range(900).select(F.col("id").alias("i"), F.expr("IF(id >= 500, id + 1, id)").alias("t"), F.expr("(id * 7919 % 1000 - 500) / 1e6D").alias("a"), F.expr("(id * 104729 % 1000 - 500) / 1e6D").alias("b"))
+    w = W.partitionBy(F.lit(0)).orderBy("i").rowsBetween(W.unboundedPreceding, 0)  # 900 rows whatever the data
+    x = r.select("t", F.sum("a").over(w).alias("ea"), F.sum("b").over(w).alias("gb"))
+    return x.select("t", rd("ea").alias("EURUSD"), rd("gb").alias("GBPUSD"), rd(F.col("ea") - F.col("gb")).alias("EURGBP"))
+
+
+@query(f"""
+WITH {EDGES}, p AS (SELECT feed_id, symbol, timestamp FROM dynamics_params WHERE kappa IS NOT NULL GROUP BY ALL),
+a AS (SELECT e.*, lead(e.contiguous) OVER (PARTITION BY e.feed_id, e.symbol ORDER BY e.k) AS nx, e.k * e.step * 1000000 - epoch_us(p.timestamp) AS age
+  FROM e ASOF LEFT JOIN p ON e.feed_id = p.feed_id AND e.symbol = p.symbol AND make_timestamptz(e.k * e.step * 1000000) >= p.timestamp)
+SELECT feed_id, symbol, k, CASE WHEN NOT contiguous THEN 'post_gap_reset_skip' WHEN NOT coalesce(nx, false) THEN 'pre_gap_skip' WHEN age IS NULL OR age > 129600000000 THEN 'stale_coupling_skip'
+  WHEN k % 5 = 0 THEN 'selected' ELSE 'eligible_unselected' END AS reason FROM a""")
+def candidate_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """A reason for every row: gap behind it, gap ahead, parameters over 36 hours old, else
+    whether the stride selects it."""
+    from tidemill.operators.joins import asof
+
+    e = edges(spark, d).withColumns({"nx": F.lead("contiguous").over(S.ordered(KEYS)), "us": F.col("k") * F.col("step") * 1_000_000})
+    p = table(spark, d, "dynamics_params").where("kappa IS NOT NULL").select(*KEYS, F.unix_micros("timestamp").alias("t"))
+    a = asof(e.select(*KEYS, "k", "contiguous", "nx", "us"), p, KEYS, "us", "t", ["t"], max_age=129_600_000_000.0)
+    reason = F.when(~F.col("contiguous"), "post_gap_reset_skip").when(~F.coalesce("nx", F.lit(False)), "pre_gap_skip").when(F.col("t").isNull(), "stale_coupling_skip")
+    return a.select(*KEYS, "k", reason.when(F.expr("k % 5 = 0"), "selected").otherwise("eligible_unselected").alias("reason"))
