@@ -68,27 +68,40 @@ def tokens(passage: str) -> list[str]:
     if not s.isascii():
         s = s.translate(_FOLD)
     s = _SPACED.sub(lambda m: re.sub(r"[ ._\-*]", "", m[0]), s)
-    out = []
+    out: list[str] = []
     for t in _TOKEN.findall(s):
-        t = t.strip("_")
-        if not t.isalpha():
-            if "_" in t and all(len(p) == 1 for p in t.split("_") if p):
-                t = t.replace("_", "")
-            letters = any(c.isalpha() for c in t)
-            if not letters or (_OTHER_DIGIT.search(t)):
-                continue
-            t = t.translate(_LEET)
-            t = _STARS.sub("*", t.strip("*")) if "*" in t else t
-            if not t:
-                continue
-        t = _STRETCH.sub(r"\1", t)
-        if not t.isascii() and _WIDE.search(t):
-            out += [t[i : i + 2] for i in range(max(1, len(t) - 1))]
-        elif not (len(t) == 6 and _PAIR.fullmatch(t)):
-            out.append(t)
+        if t.isdigit():
+            continue
+        m = _MEANT.get(t)
+        if m is None:
+            if len(_MEANT) >= REMEMBERED:
+                _MEANT.clear()
+            m = _MEANT[t] = _meant(t)
+        out += m
     return out
 
 
+_MEANT: dict[str, list[str]] = {}
+
+
+def _meant(t: str) -> list[str]:
+    """What one written word stands for."""
+    t = t.strip("_")
+    if not t.isalpha():
+        if "_" in t and all(len(p) == 1 for p in t.split("_") if p):
+            t = t.replace("_", "")
+        if not any(c.isalpha() for c in t) or _OTHER_DIGIT.search(t):
+            return []
+        t = t.translate(_LEET)
+        t = _STARS.sub("*", t.strip("*")) if "*" in t else t
+        if not t:
+            return []
+    t = _STRETCH.sub(r"\1", t)
+    if not t.isascii() and _WIDE.search(t):
+        return [t[i : i + 2] for i in range(max(1, len(t) - 1))]
+    return [] if len(t) == 6 and _PAIR.fullmatch(t) else [t]
+
+
 def passages(text: str | None) -> Iterator[tuple[str, list[str]]]:
     """Sentences and lines of a text, long ones in overlapping windows too."""
     if not text:
@@ -178,29 +191,36 @@ class Index:
             return none
         by = np.argsort(-tops)
         lists = list(zip(at[by].tolist(), w[by].tolist(), tops[by].tolist()))
-        found, rest = [], bound
-        for k, x, top in lists:
-            if rest < reach:  # what only the remaining terms could give
-                break
+        got, rest = np.zeros(len(self.texts), dtype=np.float32), bound
+        least = reach - 1e-6
+        n = 0
+        while n < len(lists) and rest >= least:  # until the remaining terms could not make a hit of their own
+            k, x, top = lists[n]
             a, b, p, q = int(self.start[k]), int(self.end[k]), int(self.block[k]), int(self.block[k + 1])
-            live = np.flatnonzero(x * self.tops[p:q] + (bound - top) >= reach)
+            live = np.flatnonzero(x * self.tops[p:q] + (bound - top) >= least)
             if len(live) == q - p:
-                found.append(self.owner[a:b])
-            else:
-                found += [self.owner[a + i * BLOCK : min(b, a + (i + 1) * BLOCK)] for i in live.tolist()]
+                got[self.owner[a:b]] += x * self.weight[a:b]
+            else:  # examples of the other blocks fall short whatever else they share
+                for i in live.tolist():
+                    c, d = a + i * BLOCK, min(b, a + (i + 1) * BLOCK)
+                    got[self.owner[c:d]] += x * self.weight[c:d]
             rest -= top
-        if not found:
-            return none
-        c = np.unique(np.concatenate(found))
-        cos = np.zeros(len(c))
-        for k, x, _ in lists:
+            n += 1
+        c = np.flatnonzero(got > max(least - rest, 0.0))
+        cos = got[c]
+        for k, x, top in lists[n:]:
+            if not len(c):
+                return none
             a, b = int(self.start[k]), int(self.end[k])
             own = self.owner[a:b]
             i = np.searchsorted(own, c)
             i[i == b - a] = 0
-            cos += np.where(own[i] == c, x * self.weight[a:b][i], 0.0)
+            cos = cos + np.where(own[i] == c, x * self.weight[a:b][i], 0.0)
+            rest -= top
+            stay = cos + rest >= least
+            c, cos = c[stay], cos[stay]
         keep = cos >= reach
-        return c[keep].astype(np.int64), cos[keep]
+        return c[keep].astype(np.int64), cos[keep].astype(np.float64)
 
     def vote(self, ids: np.ndarray, cos: np.ndarray, prior: float, own: int = -1) -> tuple[float, int]:
         """Weighted share of marks among the nearest, and the example that speaks for it.
@@ -284,7 +304,9 @@ def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     texts = [r["passage"] for r in rows]
     positive, total = np.array([r["positive"] for r in rows], dtype=np.int64), np.array([r["total"] for r in rows], dtype=np.int64)
 
-    wanted = set()
+    docs = [r["docs"] for r in rows]
+    del rows
+    wanted: set[int] = set()
     for t in texts:
         wanted.update(terms(t.split(" ")))
     vocabulary = sc.broadcast(np.array(sorted(wanted), dtype=np.int64))
@@ -310,7 +332,7 @@ def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     df = {r["term"]: r["n"] for r in d.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator()}
     index = Index(texts, positive, total, {t: c for t, c in df.items() if t >= 0}, df.get(-1, 0))
     del df
-    kept = _borne_out(index, [r["docs"] for r in rows], prior, sc)
+    kept = _borne_out(index, docs, prior, sc)
     index.total = np.where(kept | (positive == 0), total, np.maximum(total - positive, 0)).astype(np.float64)
     index.positive = np.where(kept, positive, 0).astype(np.float64)
     return Model(index, index.only(kept), prior)
