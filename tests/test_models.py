@@ -116,3 +116,18 @@ def test_blocks_stay_inside_segments():
     assert len(i) == 60 and set(i.tolist()) == set(range(6))
     with pytest.raises(ValueError):
         X.block_draws(np.zeros(0, dtype=int), first, last, 3, 5, rng)
+
+
+def test_budgeted_baskets():
+    names = ["EURUSD", "USDJPY", "GBPUSD", "USDCHF", "AUDUSD", "USDCAD", "USDCNH", "EURGBP", "EURJPY", "GBPJPY"]
+    cur = sorted({n[:3] for n in names} | {n[3:] for n in names})
+    inc = np.array([[(n[:3] == c) - (n[3:] == c) for c in cur] for n in names], dtype=float)
+    rng, good = np.random.default_rng(0), 0
+    for i in range(20):
+        f = rng.normal(size=(10, 2))
+        s = np.zeros(10)
+        s[i % 10] = 1.0
+        w, fits = X.budgeted_basket(s, f, inc, np.eye(10) * 1e-8, np.zeros(10))
+        assert np.abs(f.T @ w).max() < 1e-8 and np.abs(inc.T @ w).max() <= 0.35 + 1e-6
+        good += fits
+    assert good >= 10

@@ -72,6 +72,13 @@ def test_publish_is_all_or_nothing(spark, tmp_path, monkeypatch):
     assert set(merged["tables"]) == {"t", "u", "v"} and S.merge_manifests({"version": 0}, m) == m
 
 
+def test_file_hashes(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "x").write_bytes(b"abc")
+    assert [(r.length, r.sha256) for r in S.file_hashes(spark, f"file://{tmp_path}").collect()] == [(3, hashlib.sha256(b"abc").hexdigest())]
+
+
 def run(stream, tmp_path, name):
     q = stream.writeStream.format("parquet").option("path", f"file://{tmp_path}/{name}").option("checkpointLocation", f"file://{tmp_path}/{name}-cp").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()

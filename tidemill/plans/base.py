@@ -1,4 +1,4 @@
-"""What the reference queries share: tables on the regular grid, and the same as SQL."""
+"""What the queries share: tables on the regular grid, and the same as SQL."""
 
 from __future__ import annotations
 

@@ -314,3 +314,29 @@ def dual_weights(spark: SparkSession, d: str) -> DataFrame:
     t = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [-1.0, 1.0, 1.0]]  # rows: basis, columns: pairs in order of TRIANGLE
     w = [sum((s[n] * t[i][j] for i, n in enumerate(TRIANGLE)), F.lit(0.0)) for j in range(3)]
     return ev.select("event_seq", *(rd(c).alias(f"w_{n.lower()}") for n, c in zip(TRIANGLE, w)))
+
+
+@query(f"""WITH {GRID}, f AS (SELECT feed_id, symbol, min(epoch_us(timestamp)) AS f FROM dynamics_params GROUP BY ALL),
+r AS (SELECT g.feed_id, g.symbol, g.k, row_number() OVER (PARTITION BY g.feed_id, g.symbol ORDER BY g.k) AS i FROM g JOIN f USING (feed_id, symbol) WHERE g.k * g.step * 1000000 >= f.f)
+SELECT feed_id, symbol, k FROM r WHERE i <= 100 + greatest(20, 100 // 5)""")
+def bounded_window(spark: SparkSession, d: str) -> DataFrame:
+    """From each series' first parameters on, 100 rows and a fifth more for what later joins lose."""
+    first = table(spark, d, "dynamics_params").groupBy(*KEYS).agg(F.min(F.unix_micros("timestamp")).alias("f"))
+    g = grid(spark, d).select(*KEYS, "k", (F.col("k") * F.col("step") * 1_000_000).alias("us")).join(first, KEYS).where("us >= f")
+    return g.withColumn("i", F.row_number().over(W.partitionBy(*KEYS).orderBy("k"))).where("i <= 120").select(*KEYS, "k")
+
+
+@query(f"""WITH {GRID} SELECT feed_id, symbol, k, k * step >= epoch(TIMESTAMP '2024-11-01')::BIGINT AS test FROM g WHERE k * step >= epoch(TIMESTAMP '2024-10-01')::BIGINT AND k * step < epoch(TIMESTAMP '2024-12-01')::BIGINT""")
+def split_window(spark: SparkSession, d: str) -> DataFrame:
+    """Two periods, the later one for testing; the time range reaches the scan."""
+    b = table(spark, d, "bars").where("timestamp >= timestamp'2024-10-01' AND timestamp < timestamp'2024-12-01'")
+    g = S.grid_bars(b, table(spark, d, "series"), KEYS)
+    return g.select(*KEYS, "k", (F.col("k") * F.col("step") >= F.unix_timestamp(F.lit("2024-11-01").cast("timestamp"))).alias("test"))
+
+
+@query(f"""WITH {_PAIRS}, n AS (SELECT event_seq, count(*) AS n_pairs FROM pairs GROUP BY event_seq) SELECT e.event_seq, e.event_id, coalesce(n_pairs, 0) AS n_pairs FROM legal_events e LEFT JOIN n USING (event_seq)""")
+def write_back(spark: SparkSession, d: str) -> DataFrame:
+    """Results computed per pair put back onto the records they came from."""
+    ev = table(spark, d, "legal_events").select("event_seq", "event_id", "pair_exposures")
+    n = exposed_pairs(ev.select("event_seq", "pair_exposures")).groupBy("event_seq").agg(F.count(F.lit(1)).alias("n_pairs"))
+    return ev.select("event_seq", "event_id").join(n, "event_seq", "left").fillna(0, ["n_pairs"])

@@ -364,3 +364,44 @@ def placebo_shuffle(spark: SparkSession, d: str) -> DataFrame:
     j = a.join(b, ["symbol", "i"])
     err = lambda y: F.avg((F.col("p") - F.col(y)) * (F.col("p") - F.col(y)))
     return j.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), err("up").alias("brier"), err("other").alias("placebo_brier"), F.avg("up").alias("rate"), F.avg("other").alias("placebo_rate"))
+
+
+@query()
+def budgeted_baskets(spark: SparkSession, d: str) -> DataFrame:
+    """Baskets with a currency budget instead of strict neutrality, and whether they fit."""
+    con = _incidence()
+    lead = np.ones((len(SYMBOLS), 1))
+
+    def build(batches):
+        for t in batches:
+            got = []
+            for levels, who in zip(t["levels"].to_pylist(), t["component"].to_pylist()):
+                s = np.zeros(len(levels))
+                s[who] = -np.sign(levels[who]) or -1.0
+                got.append(X.budgeted_basket(s, lead, con, np.eye(len(s)) * 1e-8, np.zeros(len(s))))
+            yield pa.RecordBatch.from_arrays([t["t"], pa.array([g[0].tolist() for g in got], pa.list_(pa.float64())), pa.array([g[1] for g in got], pa.bool_())], ["t", "weights", "feasible"])
+
+    return factor_state(spark, d).select("t", "levels", "component").mapInArrow(build, "t long, weights array<double>, feasible boolean")
+
+
+@query()
+def kernel_readout(spark: SparkSession, d: str) -> DataFrame:
+    """Ridge on the kernel features: moments of the first seven tenths summed by Spark, one
+    small solve, accuracy on the rest."""
+    phi = kernel_features(spark, d)
+    span = phi.agg(F.min("t").alias("a"), F.max("t").alias("b"), F.max(F.size("phi")).alias("m")).first()
+    empty = spark.createDataFrame([], "n long, accuracy double")
+    if span["a"] is None:
+        return empty
+    m, c, split = span["m"], 6, span["a"] + (span["b"] - span["a"]) * 7 // 10
+    train = phi.where(F.col("t") < split)
+    one = train.agg(
+        F.array(*(F.sum(F.col("phi")[i] * F.col("phi")[j]) for i in range(m) for j in range(m))).alias("xx"),
+        F.array(*(F.sum(F.when(F.col("y") == k, F.col("phi")[i]).otherwise(0.0)) for i in range(m) for k in range(c))).alias("xy"),
+    ).first()
+    if one["xx"][0] is None:
+        return empty
+    w = np.linalg.solve(np.array(one["xx"]).reshape(m, m) + 0.01 * np.eye(m), np.array(one["xy"]).reshape(m, c))
+    dot = lambda k: F.aggregate(F.zip_with("phi", F.array(*(F.lit(float(v)) for v in w[:, k])), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    s = phi.where(F.col("t") >= split).withColumn("s", F.array(*(dot(k) for k in range(c))))
+    return s.agg(F.count(F.lit(1)).alias("n"), F.avg((F.array_position("s", F.array_max("s")) - 1 == F.col("y")).cast("double")).alias("accuracy"))

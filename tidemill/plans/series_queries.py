@@ -305,7 +305,7 @@ p AS (SELECT symbol, h, median(close) AS close FROM h GROUP BY ALL), b AS (SELEC
 j AS (SELECT h, max(close) FILTER (symbol = 'EURUSD') AS EURUSD, max(close) FILTER (symbol = 'USDJPY') AS USDJPY FROM p, b WHERE h >= bound GROUP BY h)
 SELECT h, EURUSD, USDJPY FROM j WHERE EURUSD IS NOT NULL AND USDJPY IS NOT NULL""")
 def latest_common(spark: SparkSession, d: str) -> DataFrame:
-    """The last 60 instants of the reference symbol bound the scan, then the panel is inner."""
+    """The last 60 instants of the first symbol bound the scan, then the panel is inner."""
     h = F.expr("cast(floor(k * step / 14400) as bigint)").alias("h")
     p = grid(spark, d).where("symbol IN ('EURUSD', 'USDJPY')").groupBy(*KEYS, h).agg(F.max_by("close", "k").alias("close")).groupBy("symbol", "h").agg(F.median("close").alias("close"))
     last = p.where("symbol = 'EURUSD'").orderBy(F.col("h").desc()).limit(60).agg(F.min("h").alias("bound"), F.count(F.lit(1)).alias("n")).where("n = 60")

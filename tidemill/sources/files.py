@@ -204,3 +204,8 @@ def merge_manifests(old: dict[str, Any], new: dict[str, Any]) -> dict[str, Any]:
 def write_csv_gz(df: DataFrame, path: str) -> None:
     """Compressed CSV, for readers without Parquet."""
     df.write.option("header", True).option("compression", "gzip").csv(path)
+
+
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """SHA-256 and size of every file under a path, computed where the files are read."""
+    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
