@@ -20,6 +20,13 @@ class Regimes:
     threshold: float = 0.15
 
 
+#: Chances to stay in and to enter the volatile regime, and how far the two lie apart;
+#: discounts of crowded components; weights of risk, of change and of a step (fixed values).
+STAY, ENTER, APART = 0.985, 0.010, 0.55
+PRESSED, CLUSTERED = 0.75, 0.10
+RISK, CHANGE, STEP = 0.35, 0.03, 0.12
+
+
 def _components(adjacent: np.ndarray) -> np.ndarray:
     """Size of each node's connected component (a handful of nodes)."""
     reach = adjacent | np.eye(len(adjacent), dtype=bool)
@@ -61,8 +68,8 @@ def factor_states(returns: np.ndarray, r: Regimes = Regimes()) -> dict[str, np.n
     for i, x in enumerate(returns, 1):
         lv = np.log(max(np.sqrt(np.mean(x * x)), 1e-12))
         z = np.clip((lv - lv_mean) / np.sqrt(max(lv_var, 1e-8)), -8, 8)
-        prior = 0.985 * high + 0.010 * (1 - high)
-        odds = np.array([1 - prior, prior]) * np.exp(-0.5 * (z + np.array([0.55, -0.55])) ** 2)
+        prior = STAY * high + ENTER * (1 - high)
+        odds = np.array([1 - prior, prior]) * np.exp(-0.5 * (z + np.array([APART, -APART])) ** 2)
         high = odds[1] / odds.sum() if odds.sum() > 1e-300 else 0.5
         d = lv - lv_mean
         lv_mean += a_vol * d
@@ -93,7 +100,7 @@ def factor_states(returns: np.ndarray, r: Regimes = Regimes()) -> dict[str, np.n
 
 def select(level: np.ndarray, pressure: np.ndarray, cluster: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Component with the largest |level| after discounting crowded ones, per row, and its score."""
-    score = np.abs(level) / (1 + 0.75 * pressure + 0.10 * np.maximum(cluster - 1, 0))
+    score = np.abs(level) / (1 + PRESSED * pressure + CLUSTERED * np.maximum(cluster - 1, 0))
     return score.argmax(axis=1), score.max(axis=1)
 
 
@@ -110,7 +117,7 @@ def budgeted_basket(signal: np.ndarray, factors: np.ndarray, incidence: np.ndarr
     """Unit-gross weights neutral to the factors, with every currency's exposure within the
     budget and no weight above ``most``, that follow the signal; and whether all hold.
 
-    Ascent on s·w - 0.35 wᵀΣw - 0.03 |w - before|, each step followed by Dykstra's
+    Ascent on s·w - RISK wᵀΣw - CHANGE |w - before|, each step followed by Dykstra's
     alternating projections onto the factor-null space, the exposure slab of each currency
     and the weight box; gross exposure is restored along the feasible loop space, which
     neither factors nor currencies see.
@@ -139,9 +146,8 @@ def budgeted_basket(signal: np.ndarray, factors: np.ndarray, incidence: np.ndarr
         return w
 
     w = project(signal / max(np.abs(signal).sum(), 1e-300))
-    step = 0.12
     for n in range(rounds // 20):
-        w = project(w + step / (1 + n) * (signal - 0.7 * cov @ w - 0.03 * np.sign(w - before)))
+        w = project(w + STEP / (1 + n) * (signal - 2 * RISK * cov @ w - CHANGE * np.sign(w - before)))
     loop = neutral_basket(signal + 1e-3 * np.linspace(-1, 1, len(signal)), np.hstack([incidence, factors]))
     gross = np.abs(w).sum()
     if gross > 1:

@@ -13,6 +13,10 @@ import numpy as np
 #: Gains and rates (fixed values).
 PHASE, MEASUREMENT, DEPHASING = 0.08, 0.20, 0.02
 SITE_PHASE, SITE_DRIVE, EXCHANGE, MOST_ANGLE, SITE_DEPHASING = 0.085, 0.115, 0.85, 0.35, 0.004
+#: Spread of the random circuit's weights and ring angles, largest loaded angle (fixed values).
+THETA_SPREAD, PHI_SPREAD, RING_SPREAD, LOAD = 0.55, 0.40, 0.36, 1.2
+#: Angles of the encoding: local turns, then even and odd neighbour gates (fixed values).
+TURN_Y, TURN_Z, EVEN_Z, EVEN_C, ODD_Z, ODD_C = 0.75, 0.55, 0.24, 0.08, 0.17, 0.05
 
 
 def evolution(h: np.ndarray) -> np.ndarray:
@@ -116,15 +120,15 @@ def reservoir(zs: np.ndarray, seed: int, layers: int = 3) -> np.ndarray:
     """Observables of a fixed random circuit into which every row is loaded three times."""
     n = zs.shape[1]
     rng = np.random.default_rng(seed)
-    wt, bt = rng.normal(0, 0.55, (layers, n, n)), rng.uniform(-math.pi, math.pi, (layers, n))
-    wp, bp = rng.normal(0, 0.40, (layers, n, n)), rng.uniform(-math.pi, math.pi, (layers, n))
-    ring = rng.uniform(-0.36, 0.36, (layers, n))
+    wt, bt = rng.normal(0, THETA_SPREAD, (layers, n, n)), rng.uniform(-math.pi, math.pi, (layers, n))
+    wp, bp = rng.normal(0, PHI_SPREAD, (layers, n, n)), rng.uniform(-math.pi, math.pi, (layers, n))
+    ring = rng.uniform(-RING_SPREAD, RING_SPREAD, (layers, n))
     state = np.zeros((2,) * n, dtype=complex)
     state[(0,) * n] = 1
     out = []
     for z in zs:
         for l in range(layers):
-            theta, phi = 1.2 * np.tanh(wt[l] @ z + bt[l]), 1.2 * np.tanh(wp[l] @ z + bp[l])
+            theta, phi = LOAD * np.tanh(wt[l] @ z + bt[l]), LOAD * np.tanh(wp[l] @ z + bp[l])
             for q in range(n):
                 state = _on_axes(state, _rz(phi[q]) @ _ry(theta[q]), (q,))
             for q in range(n if n > 2 else n - 1):
@@ -142,11 +146,11 @@ def encode(z: np.ndarray, coupling: np.ndarray, dt: float) -> np.ndarray:
     c = np.clip(coupling * dt * dt, -3, 3)
     state = np.full((2,) * n, 2.0 ** (-n / 2), dtype=complex)
     for q in range(n):
-        state = _on_axes(state, _rz(0.55 * z[q]) @ _ry(0.75 * math.tanh(z[q])), (q,))
+        state = _on_axes(state, _rz(TURN_Z * z[q]) @ _ry(TURN_Y * math.tanh(z[q])), (q,))
     for q in range(n - 1):
         even, odd = (c[q, q + 1] + c[q + 1, q]) / 2, (c[q, q + 1] - c[q + 1, q]) / 2
-        state = _on_axes(state, _rzz(0.24 * math.tanh(z[q] * z[q + 1]) + 0.08 * math.tanh(even)), (q, q + 1))
-        state = _on_axes(state, _rzx(0.17 * math.tanh(z[q] - z[q + 1]) + 0.05 * math.tanh(odd)), (q, q + 1))
+        state = _on_axes(state, _rzz(EVEN_Z * math.tanh(z[q] * z[q + 1]) + EVEN_C * math.tanh(even)), (q, q + 1))
+        state = _on_axes(state, _rzx(ODD_Z * math.tanh(z[q] - z[q + 1]) + ODD_C * math.tanh(odd)), (q, q + 1))
     return state.reshape(-1)
 
 
