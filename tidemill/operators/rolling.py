@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -41,14 +41,20 @@ def rolling_totals(daily: DataFrame, keys: Sequence[str], day: str, value: str,
     return out.withColumns({f"avg_{n}": F.col(f"total_{n}") / F.lit(float(n)) for n in periods})
 
 
+def utc_day(us: str) -> Column:
+    """UTC date of a column of microseconds, whatever the session's time zone."""
+    return F.date_from_unix_date(F.expr(f"cast(({us} - pmod({us}, 86400000000)) div 86400000000 as int)"))
+
+
 def latest_per_day(rows: DataFrame, keys: Sequence[str], ts: str, recorded: str, rank: str, value: str) -> DataFrame:
     """Per entity and UTC day the ``value`` of the row recorded last (then smallest ``rank``)."""
     best = F.max_by(F.struct(F.col(value).alias("v")), F.struct(F.col(recorded), -F.col(rank)))
-    return rows.where(F.col(ts).isNotNull()).groupBy(*keys, F.to_date(ts).alias("day")).agg(best["v"].alias("value"))
+    r = rows.where(F.col(ts).isNotNull()).withColumn("__us", F.unix_micros(ts))
+    return r.groupBy(*keys, utc_day("__us").alias("day")).agg(best["v"].alias("value"))
 
 
 def distinct_times_per_day(rows: DataFrame, keys: Sequence[str], ts: str, value: str) -> DataFrame:
     """Per entity and UTC day the number of distinct ``ts`` with a non-null ``value``."""
     r = rows.where(F.col(value).isNotNull() & F.col(ts).isNotNull())
     once = r.select(*keys, F.unix_micros(ts).alias("__us")).distinct()
-    return once.groupBy(*keys, F.date_from_unix_date(F.expr("floor(__us / 86400000000)").cast("int")).alias("day")).agg(F.count(F.lit(1)).alias("value"))
+    return once.groupBy(*keys, utc_day("__us").alias("day")).agg(F.count(F.lit(1)).alias("value"))

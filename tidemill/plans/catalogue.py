@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.plans import core_problems, interval_queries, join_queries, model_queries, scoring_queries, series_queries, stream_queries
+from tidemill.plans import core_problems, interval_queries, join_queries, model_queries, scoring_queries, series_queries, stream_queries, vector_queries
 
-FAMILIES = (series_queries, join_queries, interval_queries, scoring_queries, model_queries, stream_queries)
+FAMILIES = (series_queries, join_queries, interval_queries, scoring_queries, model_queries, stream_queries, vector_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
