@@ -54,3 +54,13 @@ def test_empty_tables(spark):
     assert attributes_as_known(e, f, *args).count() == 0
     assert [r.known_rank for r in attributes_as_known(e, f, *args, how="left").collect()] == [None]
     assert attributes_as_known(e.limit(0), f, *args, how="left").count() == 0
+
+
+def test_session_zone_does_not_matter(spark):
+    f = spark.createDataFrame([("a", T0, T0, 1)], "key string, valid timestamp, seen timestamp, rank int")
+    e = spark.createDataFrame([(1, "a", T0 + timedelta(hours=1))], "id int, key string, t timestamp")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert attributes_as_known(e, f, ["key"], "t", "t", "valid", "seen", "rank", ["rank", "valid"], 10 * H).count() == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemill.arrow import utc
+
 #: Recorded time without end.
 FOREVER = (1 << 63) - 1
 
@@ -84,10 +86,9 @@ def rectangles(facts: DataFrame, keys: Sequence[str], valid: str, recorded: str,
         t = t.sort_by([("__v", "ascending"), ("__r", "ascending"), (rank, "descending")])
         owned = t["__own"].to_numpy() == t["__slot"].to_numpy()
         i, v0, v1, r0, r1 = staircase(t["__v"].to_numpy(), t["__r"].to_numpy(), owned, horizon_us)
-        out = t.select(names).take(pa.array(i))
-        for name, col in zip(("v_from", "v_to", "r_from", "r_to"), (v0, v1, r0, r1)):
-            out = out.append_column(name, pa.array(col))
-        return out
+        kept = t.select(names).take(pa.array(i))
+        cols = [*(utc(c) for c in kept.columns), *(pa.array(c) for c in (v0, v1, r0, r1))]
+        return pa.Table.from_arrays(cols, [*names, "v_from", "v_to", "r_from", "r_to"])
 
     return f.groupBy(*(f"`{k}`" for k in keys), "__slot").applyInArrow(cut, schema)
 

@@ -15,6 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemill.arrow import utc
+
 
 def panel_segments(rows: DataFrame, keys: Sequence[str], at: str, column: str, names: Sequence[str], value: str) -> DataFrame:
     """Instants of each key at which all names have a value: keys, ``t``, ``xs`` (array in the
@@ -67,7 +69,7 @@ def ordered_scan(rows: DataFrame, spread: Sequence[str], order: Sequence[str], s
         for b in batches:
             if b.num_rows:
                 state, cols = step(state, b)
-                yield pa.RecordBatch.from_arrays([*b.columns, *(cols[n] for n in added)], [*names, *added])
+                yield pa.RecordBatch.from_arrays([*(utc(c) for c in b.columns), *(cols[n] for n in added)], [*names, *added])
 
     return rows.repartition(*spread).sortWithinPartitions(*order).mapInArrow(run, schema)
 
