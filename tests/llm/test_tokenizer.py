@@ -67,3 +67,12 @@ def test_operator(spark, vocabulary, other):
     assert token_ids(df.limit(0), "text", P.path("byte_bpe_50k.json")).collect() == []
     with pytest.raises(ValueError):
         token_ids(df, "text", P.path("byte_bpe_50k.json"), out="counts")
+
+
+def test_session_zone_does_not_matter(spark):
+    df = spark.sql("SELECT 1 AS doc_id, 'ab' AS text, timestamp'2024-01-01' AS created_at")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert token_ids(df, "text", P.path("byte_bpe_50k.json")).first().ids == [397]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

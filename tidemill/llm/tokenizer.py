@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemill.arrow import utc
+
 #: Splits a text before the merges (fixed by the vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -168,7 +170,7 @@ def token_ids(rows: DataFrame, text: str, vocabulary_path: str, out: str = "ids"
                 counts.append(counts[-1] + len(ids))
             values = np.concatenate(flat) if flat else np.zeros(0, dtype=np.int32)
             column = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(values))
-            kept = [b.column(i) for i in range(b.num_columns - 1)]
+            kept = [utc(b.column(i)) for i in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*kept, column], [*b.schema.names[:-1], out])
 
     schema = T.StructType([*rows.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])

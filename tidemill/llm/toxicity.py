@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemill.arrow import utc
 from tidemill.llm.contamination import LOOKALIKES
 from tidemill.session import materialize
 
@@ -390,7 +391,7 @@ def score_documents(documents: DataFrame, model: Model, text: str = "text") -> D
                         best = (s, p, e)
                 score.append(best[0]), passage.append(best[1]), example.append(own.every.texts[best[2]] if best[2] >= 0 else None)
             cols = [pa.array(score, pa.float64()), pa.array([s >= MARKED for s in score], pa.bool_()), pa.array(passage, pa.string()), pa.array(example, pa.string())]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), *cols], [*b.schema.names[:-1], *(f.name for f in new)])
+            yield pa.RecordBatch.from_arrays([*(utc(b.column(i)) for i in range(b.num_columns - 1)), *cols], [*b.schema.names[:-1], *(f.name for f in new)])
 
     return documents.withColumn("__text", F.col(f"`{text}`")).mapInArrow(rate, T.StructType([*documents.schema.fields, *new]))
 
