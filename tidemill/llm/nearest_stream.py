@@ -107,7 +107,7 @@ def pair_by_nearest_time(
     right_id: str,
     tolerance_us: int,
     delay: str = "0 seconds",
-    slot_us: int = 14 * 86_400_000_000,
+    slot_us: int = 28 * 86_400_000_000,
 ) -> Pairing:
     """The streaming plan: candidates (k0.., left_us, left_id, right_us, right_id).
 
