@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -93,6 +94,46 @@ def test_every_damaged_passage_has_a_seed():
             assert max(runs) >= 5
 
 
+@pytest.mark.parametrize("size, changes", [(15, 2), (16, 2), (17, 2), (18, 2), (21, 3)])
+def test_short_passages_are_found_wherever_they_are_changed(size, changes):
+    text = np.concatenate([np.arange(900, 930), np.arange(10, 10 + size), np.arange(930, 960)])
+    item = C._Items([(7, " ".join(f"w{i}" for i in range(60)))])
+    item.words[:60] = np.arange(60)
+    for at in list(itertools.combinations(range(size), changes))[:: 1 if changes == 2 else 6]:
+        part = text.copy()
+        part[30 + np.array(at)] = -9
+        left = size - changes
+        ((_, found, _, matched, wrong, f, t),) = C._search_shard([1], [np.append(part, -2)], item, 5, 13, 0.2)
+        assert found == 7 and 13 <= matched <= left and wrong <= changes and 30 <= f < t <= 30 + size, at
+        gone = np.delete(text, 30 + np.array(at))
+        assert len(list(C._search_shard([1], [np.append(gone, -2)], item, 5, 13, 0.2))) == 1, at
+
+
+def test_a_stretch_is_what_trying_all_alignments_finds():
+    def tried(item, text, least, ratio):
+        best = {}  # (i, j) -> most matched words by wrong ones, of stretches that end there
+        for i in range(len(item) + 1):
+            for j in range(len(text) + 1):
+                here = {0: 0}
+                for di, dj in ((1, 0), (0, 1), (1, 1)):
+                    for w, n in best.get((i - di, j - dj), {}).items():
+                        same = di and dj and item[i - 1] == text[j - 1]
+                        k, v = (w, n + 1) if same else (w + 1, n)
+                        here[k] = max(here.get(k, 0), v)
+                best[i, j] = here
+        return any(n >= least and w <= ratio * n for here in best.values() for w, n in here.items())
+
+    rnd = random.Random(5)
+    seen = set()
+    for _ in range(150):
+        item, text = (np.array([rnd.randrange(5) for _ in range(rnd.randrange(1, 16))]) for _ in range(2))
+        got = C.stretch(item, text, 5, 0.2)
+        seen.add(got is None)
+        assert (got is not None) == tried(item, text, 5, 0.25)
+        assert got is None or (got[0] >= 5 and got[1] <= 0.25 * got[0] and got[2] < got[3])
+    assert seen == {True, False}
+
+
 def test_too_many_items_are_refused(spark, monkeypatch):
     monkeypatch.setattr(C, "ITEMS_LIMIT", 10)
     d = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")

@@ -176,6 +176,41 @@ def align(item: np.ndarray, text: np.ndarray, penalty: int = 3) -> tuple[int, in
     return matched, wrong, j, end
 
 
+def stretch(item: np.ndarray, text: np.ndarray, least: int, share: float) -> tuple[int, int, int, int] | None:
+    """A stretch of at least ``least`` matched words with at most ``share`` of them wrong, as
+    ``align`` gives it; None where there is none.
+
+    Unlike ``align`` this weighs no ends against each other: for each number of wrong words
+    the most matched ones are kept per cell.  A stretch of twice ``least`` matched words or
+    more has a part that is within the share too, so few numbers have to be tried.
+    """
+    n, m = len(item), len(text)
+    ratio = share / (1 - share) if share < 1 else np.inf
+    layers = int(min((2 * least - 1) * ratio + 1e-9, n + m)) + 1
+    # matched words in the high bits, where the stretch began in the low ones
+    one, best, found = 1 << 32, [0] * layers, None
+    fresh = np.arange(m + 1, dtype=np.int64)
+    above = np.tile(fresh, (layers, 1))
+    end = [0] * layers
+    for i in range(n):
+        row = np.tile(fresh, (layers, 1))
+        same = text == item[i]
+        row[:, 1:][:, same] = above[:, :-1][:, same] + one
+        np.maximum(row[1:], above[:-1], out=row[1:])
+        np.maximum(row[1:, 1:], above[:-1, :-1], out=row[1:, 1:])
+        for w in range(1, layers):
+            np.maximum(row[w, 1:], row[w - 1, :-1], out=row[w, 1:])
+        for w, j in enumerate(row.argmax(axis=1).tolist()):
+            if row[w, j] >> 32 > best[w] >> 32:
+                best[w], end[w] = int(row[w, j]), j
+        above = row
+    for wrong, (b, j) in enumerate(zip(best, end)):
+        matched = b >> 32
+        if matched >= least and wrong <= ratio * matched + 1e-9 and (found is None or matched > found[0]):
+            found = (matched, wrong, b & (one - 1), j)
+    return found
+
+
 class _Items:
     """All test items one after another, a separator after each."""
 
@@ -219,16 +254,19 @@ def _search_shard(docs: list[int], parts: list[np.ndarray], items: _Items, seed:
         spot = np.unique(at[some] - (q[some] - i0))
         spot = spot[np.concatenate([[True], np.diff(spot) > 0])]
         groups = np.split(spot, np.flatnonzero(np.diff(spot) > len(item)) + 1)
-        best = (0, 0, 0, 0)
+        best = None
         for g in groups:
             lo, hi = max(int(g[0]) - slack, int(starts[d])), min(int(g[-1]) + len(item) + slack, int(starts[d + 1]))
-            if hi > lo:
-                matched, wrong, f, t = align(item, text[lo:hi])
-                if (matched, -wrong) > (best[0], -best[1]):
-                    best = (matched, wrong, lo + f - int(starts[d]), lo + t - int(starts[d]))
-        matched, wrong, f, t = best
-        if matched >= least and wrong <= share * (matched + wrong):
-            yield docs[d], items.ids[k], int(longest[q[some]].max()), matched, wrong, f, t
+            part = text[lo:hi]
+            if np.isin(part, item).sum() < least:
+                continue
+            got = align(item, part)
+            if got[0] < least or got[1] > share * (got[0] + got[1]):  # its ends may be trimmed, or its middle too bad
+                got = stretch(item, part, least, share)
+            if got and (best is None or (got[0], -got[1]) > (best[0], -best[1])):
+                best = (*got[:2], lo + got[2] - int(starts[d]), lo + got[3] - int(starts[d]))
+        if best:
+            yield docs[d], items.ids[k], int(longest[q[some]].max()), *best
 
 
 def leaked_passages(
@@ -248,8 +286,9 @@ def leaked_passages(
     most ``DEPTH``), ``matched`` and ``wrong`` (words of the aligned passage found, and
     changed, left out or added), ``from_word`` and ``to_word`` (its place in the
     document).  A passage counts from ``least`` matched words on, with at most ``share``
-    of its words wrong.  Any passage of 15 words with one in seven wrong has ``seed``
-    words verbatim, so none is missed.
+    of its words wrong, wherever in it they stand: the best alignment is taken, or, where
+    that is too short or too bad, the ``stretch`` with most matched words.  Any passage of
+    15 words or more with one in seven wrong has ``seed`` words verbatim, so none is missed.
 
     Null, empty and blank texts carry nothing; repeated rows come out as often as they
     occur; items with fewer than ``seed`` words are never found.  A text longer than a
