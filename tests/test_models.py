@@ -131,3 +131,14 @@ def test_budgeted_baskets():
         assert np.abs(f.T @ w).max() < 1e-8 and np.abs(inc.T @ w).max() <= 0.35 + 1e-6
         good += fits
     assert good >= 10
+
+
+def test_panels_hold_every_bar_of_every_length(spark):
+    """A minute's bars stay minutes; feeds of other lengths make panels of their own."""
+    from tidemill.operators.sequential import panel_segments
+    from tidemill.plans import model_queries as M
+
+    bars = [(f, s, step, k, float(k)) for f, step, n in (("a", 60, 500), ("b", 60, 300), ("c", 900, 40)) for s in ("X", "Y") for k in range(n) if k != 100]
+    p = panel_segments(M.native(spark.createDataFrame(bars, "feed_id string, symbol string, step long, k long, x double")), M.PANEL, "k", "symbol", ["X", "Y"], "x")
+    assert sorted((r.bar_seconds, r.t, tuple(r.xs)) for r in p.collect()) == sorted((step, k, (k, k)) for step, n in ((60, 500), (900, 40)) for k in range(n) if k != 100)
+    assert {(r.bar_seconds, r.segment_id) for r in p.collect()} == {(60, 0), (60, 1), (900, 0)}

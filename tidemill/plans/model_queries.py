@@ -17,7 +17,7 @@ from tidemill.operators import filters as Q
 from tidemill.operators import joins as J
 from tidemill.operators.sequential import ordered_scan, panel_segments, per_segment, standardised
 from tidemill.plans.base import KEYS, Registry, grid
-from tidemill.plans.join_queries import SYMBOLS, mid
+from tidemill.plans.join_queries import SYMBOLS
 from tidemill.plans.scoring_queries import _parts
 from tidemill.session import table
 
@@ -34,9 +34,20 @@ def coupling(n: int) -> np.ndarray:
     return np.where(np.abs(i[:, None] - i[None, :]) == 1, 1e-5 * (1 + 0.1 * (i[:, None] - i[None, :])), 0.0)
 
 
+#: Panels are told apart by the length of their bars; t counts bars, so this is seconds.
+PANEL = ["bar_seconds"]
+SECONDS = "t * bar_seconds"
+
+
+def native(bars: DataFrame) -> DataFrame:
+    """bar_seconds, symbol, k, x: one series a symbol and length of bar, at every bar of the
+    grid; the median over the feeds whose bars have that length."""
+    return bars.groupBy(F.col("step").alias("bar_seconds"), "symbol", "k").agg(F.median("x").alias("x"))
+
+
 def segments(spark: SparkSession, d: str, names: list[str]) -> DataFrame:
-    """Synchronous four-hour panel of the symbols' median series, in segments."""
-    return panel_segments(mid(spark, d).withColumn("panel", F.lit("mid")), ["panel"], "h", "symbol", names, "x")
+    """Synchronous panels of the symbols, one for each length of bar, in segments."""
+    return panel_segments(native(grid(spark, d)), PANEL, "k", "symbol", names, "x")
 
 
 @query()
@@ -59,7 +70,7 @@ def lindblad_filter(spark: SparkSession, d: str) -> DataFrame:
         p, purity, worst = Q.lindblad(standardised(xs), coupling(xs.shape[1]), DT)
         return {"t": t[1:], "p": p.tolist(), "purity": purity, "invariant_error": np.full(len(p), worst)}
 
-    return per_segment(segments(spark, d, THREE), ["panel"], body, {"t": L, "p": V, "purity": N, "invariant_error": N})
+    return per_segment(segments(spark, d, THREE), PANEL, body, {"t": L, "p": V, "purity": N, "invariant_error": N})
 
 
 @query()
@@ -68,7 +79,7 @@ def trajectory_filter(spark: SparkSession, d: str) -> DataFrame:
         p, jumps = Q.trajectories(standardised(xs), coupling(xs.shape[1]), DT, 96, SEED + int(t[0]))
         return {"t": t[1:], "p": p.tolist(), "jumps": jumps}
 
-    return per_segment(segments(spark, d, THREE), ["panel"], body, {"t": L, "p": V, "jumps": L})
+    return per_segment(segments(spark, d, THREE), PANEL, body, {"t": L, "p": V, "jumps": L})
 
 
 @query()
@@ -77,7 +88,7 @@ def tensor_chain_filter(spark: SparkSession, d: str) -> DataFrame:
         a, lost = Q.tensor_chain(standardised(xs), coupling(xs.shape[1]), DT, 8, SEED + int(t[0]))
         return {"t": t[1:], "activity": a.tolist(), "lost_weight": lost}
 
-    return per_segment(segments(spark, d, SYMBOLS), ["panel"], body, {"t": L, "activity": V, "lost_weight": N})
+    return per_segment(segments(spark, d, SYMBOLS), PANEL, body, {"t": L, "activity": V, "lost_weight": N})
 
 
 @query()
@@ -85,7 +96,7 @@ def reservoir_features(spark: SparkSession, d: str) -> DataFrame:
     def body(t: np.ndarray, xs: np.ndarray) -> dict:
         return {"t": t[1:], "observables": Q.reservoir(standardised(xs), SEED).tolist()}
 
-    return per_segment(segments(spark, d, SYMBOLS[:6]), ["panel"], body, {"t": L, "observables": V})
+    return per_segment(segments(spark, d, SYMBOLS[:6]), PANEL, body, {"t": L, "observables": V})
 
 
 def _next_largest(spark: SparkSession, d: str, names: list[str]) -> DataFrame:
@@ -95,7 +106,7 @@ def _next_largest(spark: SparkSession, d: str, names: list[str]) -> DataFrame:
         z, y = standardised(xs)[:-1], np.abs(np.diff(xs, axis=0)[1:]).argmax(axis=1)
         return {"t": t[1:-1], "z": z.tolist(), "y": y} if len(xs) > 2 else {"t": [], "z": [], "y": []}
 
-    return per_segment(segments(spark, d, names), ["panel"], body, {"t": L, "z": V, "y": L})
+    return per_segment(segments(spark, d, names), PANEL, body, {"t": L, "z": V, "y": L})
 
 
 @query()
@@ -104,8 +115,9 @@ def reservoir_readout(spark: SparkSession, d: str) -> DataFrame:
 
     The first seven tenths of the time train, the rest is scored.
     """
-    obs = reservoir_features(spark, d).join(_next_largest(spark, d, SYMBOLS[:6]).select("t", "y"), "t")
-    b = obs.agg((F.min("t") + F.expr("(max(t) - min(t)) * 7 div 10")).alias("split")).first()["split"]
+    obs = reservoir_features(spark, d).join(_next_largest(spark, d, SYMBOLS[:6]).select(*PANEL, "t", "y"), [*PANEL, "t"])
+    obs = obs.withColumn("s", F.expr(SECONDS))
+    b = obs.agg((F.min("s") + F.expr("(max(s) - min(s)) * 7 div 10")).alias("split")).first()["split"]
     if b is None:
         return spark.createDataFrame([], "n long, accuracy double, brier double")
     k, c = 14, 6
@@ -118,7 +130,7 @@ def reservoir_readout(spark: SparkSession, d: str) -> DataFrame:
             xy += x.T @ np.eye(c)[t["y"].to_numpy()]
         yield pa.RecordBatch.from_arrays([pa.array([xx.ravel().tolist()]), pa.array([xy.ravel().tolist()])], ["xx", "xy"])
 
-    part = obs.where(F.col("t") < b).select("observables", "y").mapInArrow(moments, "xx array<double>, xy array<double>")
+    part = obs.where(F.col("s") < b).select("observables", "y").mapInArrow(moments, "xx array<double>, xy array<double>")
     s = part.agg(F.array(*(F.sum(F.col("xx")[i]) for i in range(k * k))).alias("xx"), F.array(*(F.sum(F.col("xy")[i]) for i in range(k * c))).alias("xy")).first()
     if s["xx"][0] is None:
         return spark.createDataFrame([], "n long, accuracy double, brier double")
@@ -127,7 +139,7 @@ def reservoir_readout(spark: SparkSession, d: str) -> DataFrame:
     w = np.linalg.solve(np.array(s["xx"]).reshape(k, k) + penalty, np.array(s["xy"]).reshape(k, c))
     x = F.concat(F.array(F.lit(1.0)), "observables")
     dot = lambda j: F.aggregate(F.zip_with(x, F.array(*(F.lit(float(v)) for v in w[:, j])), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    scored = obs.where(F.col("t") >= b).withColumn("e", F.transform(F.array(*(dot(j) for j in range(c))), lambda v: F.exp(v)))
+    scored = obs.where(F.col("s") >= b).withColumn("e", F.transform(F.array(*(dot(j) for j in range(c))), lambda v: F.exp(v)))
     p = F.transform("e", lambda v: v / F.aggregate("e", F.lit(0.0), lambda a, b: a + b))
     scored = scored.withColumn("p", p)
     brier = F.aggregate(F.transform("p", lambda v, i: F.pow(v - (i == F.col("y")).cast("double"), F.lit(2.0))), F.lit(0.0), lambda a, b: a + b)
@@ -137,12 +149,12 @@ def reservoir_readout(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def kernel_features(spark: SparkSession, d: str) -> DataFrame:
     """Fidelity kernel of every row against 16 evenly placed landmarks, in Nyström form."""
-    rows = _next_largest(spark, d, SYMBOLS[:6])
-    span = rows.agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
+    rows = _next_largest(spark, d, SYMBOLS[:6]).withColumn("s", F.expr(SECONDS))
+    span = rows.agg(F.min("s").alias("a"), F.max("s").alias("b")).first()
     if span["a"] is None:
-        return spark.createDataFrame([], "t long, y long, phi array<double>")
-    part = F.expr(f"(t - {span['a']}) * 16 div {span['b'] - span['a'] + 1}")
-    marks = rows.groupBy(part.alias("part")).agg(F.min_by("z", "t").alias("z")).orderBy("part")  # at most 16 rows
+        return spark.createDataFrame([], "bar_seconds long, t long, y long, phi array<double>")
+    part = F.expr(f"(s - {span['a']}) * 16 div {span['b'] - span['a'] + 1}")
+    marks = rows.groupBy(part.alias("part")).agg(F.min_by("z", F.struct("s", *PANEL)).alias("z")).orderBy("part")  # at most 16 rows
     z = np.array([r["z"] for r in marks.collect()], dtype=float).reshape(-1, 6)
     shared = spark.sparkContext.broadcast(np.array([Q.encode(v, coupling(6), DT) for v in z]).reshape(len(z), 64))
 
@@ -151,9 +163,9 @@ def kernel_features(spark: SparkSession, d: str) -> DataFrame:
         for t in batches:
             s = np.array([Q.encode(np.array(v), coupling(6), DT) for v in t["z"].to_pylist()]).reshape(-1, 64)
             phi = Q.nystroem(Q.fidelity(s, m), Q.fidelity(m, m))
-            yield pa.RecordBatch.from_arrays([t["t"], t["y"], pa.array(phi.tolist(), pa.list_(pa.float64()))], ["t", "y", "phi"])
+            yield pa.RecordBatch.from_arrays([t["bar_seconds"], t["t"], t["y"], pa.array(phi.tolist(), pa.list_(pa.float64()))], ["bar_seconds", "t", "y", "phi"])
 
-    return rows.select("t", "y", "z").mapInArrow(features, "t long, y long, phi array<double>")
+    return rows.select(*PANEL, "t", "y", "z").mapInArrow(features, "bar_seconds long, t long, y long, phi array<double>")
 
 
 @query()
@@ -165,7 +177,7 @@ def channel_tomography(spark: SparkSession, d: str) -> DataFrame:
         c = [Q.channel_checks(Q.kraus(v, coupling(xs.shape[1]), DT)) for v in z]
         return {"t": at} | {k: [x[k] for x in c] for k in ("min_eigenvalue", "trace_error", "radius")}
 
-    return per_segment(segments(spark, d, THREE), ["panel"], body, {"t": L, "min_eigenvalue": N, "trace_error": N, "radius": N})
+    return per_segment(segments(spark, d, THREE), PANEL, body, {"t": L, "min_eigenvalue": N, "trace_error": N, "radius": N})
 
 
 @query("""WITH c AS (SELECT label, [CASE WHEN embedding[1] > 0 THEN 1 ELSE 0 END, CASE WHEN embedding[2] > 0 THEN 1 ELSE 0 END] AS bits, count(*) AS n FROM embeddings GROUP BY ALL)
@@ -250,10 +262,10 @@ def ridge_coupling(spark: SparkSession, d: str) -> DataFrame:
         r = np.diff(xs, axis=0)
         return {"t": t[2:], "z": r[:-1].tolist(), "y": r[1:].tolist()}
 
-    pairs = per_segment(segments(spark, d, THREE), ["panel"], body, {"t": L, "z": V, "y": V})
+    pairs = per_segment(segments(spark, d, THREE), PANEL, body, {"t": L, "z": V, "y": V})
     n = len(THREE)
     cell = lambda a, b, i, j: F.sum(F.col(a)[i] * F.col(b)[j])
-    m = pairs.groupBy(F.expr("t div 42").alias("week")).agg(
+    m = pairs.groupBy(*PANEL, F.expr(f"{SECONDS} div 604800").alias("week")).agg(
         F.count(F.lit(1)).alias("n"),
         F.array(*(cell("y", "z", i, j) for i in range(n) for j in range(n))).alias("xy"),
         F.array(*(cell("z", "z", i, j) for i in range(n) for j in range(n))).alias("xx"),
@@ -262,15 +274,15 @@ def ridge_coupling(spark: SparkSession, d: str) -> DataFrame:
     def solve(batches):
         for t in batches:
             out = []
-            for week, k, xy, xx in zip(*(t[c].to_pylist() for c in ("week", "n", "xy", "xx"))):
+            for bar, week, k, xy, xx in zip(*(t[c].to_pylist() for c in (*PANEL, "week", "n", "xy", "xx"))):
                 c, cond = D.ridge_matrix(np.array(xy).reshape(n, n), np.array(xx).reshape(n, n))
                 state = "INSUFFICIENT_HISTORY" if k < 10 else "REJECTED_NUMERICAL_CONDITION" if cond > 1e12 else "ACCEPTED"
-                out += [(week, k, THREE[i], THREE[j], float(c[i, j]), cond, state) for i in range(n) for j in range(n)]
-            cols = list(zip(*out)) if out else [[]] * 7
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], ["week", "n", "affected", "source", "c", "condition", "status"])
+                out += [(bar, week, k, THREE[i], THREE[j], float(c[i, j]), cond, state) for i in range(n) for j in range(n)]
+            cols = list(zip(*out)) if out else [[]] * 8
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], [*PANEL, "week", "n", "affected", "source", "c", "condition", "status"])
 
-    return m.mapInArrow(solve, "week long, n long, affected string, source string, c double, condition double, status string")
+    return m.mapInArrow(solve, "bar_seconds long, week long, n long, affected string, source string, c double, condition double, status string")
 
 
 @query()
@@ -284,7 +296,7 @@ def factor_state(spark: SparkSession, d: str) -> DataFrame:
         who, score = X.select(s["level"], s["pressure"], s["cluster"])
         return {"t": t[1:], "high": s["high"], "levels": s["level"].tolist(), "component": who, "score": score}
 
-    return per_segment(segments(spark, d, SYMBOLS), ["panel"], body, {"t": L, "high": N, "levels": V, "component": L, "score": N})
+    return per_segment(segments(spark, d, SYMBOLS), PANEL, body, {"t": L, "high": N, "levels": V, "component": L, "score": N})
 
 
 def _incidence() -> np.ndarray:
@@ -308,9 +320,9 @@ def basket_weights(spark: SparkSession, d: str) -> DataFrame:
                 w.append(b.tolist())
                 kept.append(float(abs(unit @ s)))
                 off.append(float(np.linalg.norm(unit - s)))
-            yield pa.RecordBatch.from_arrays([t["t"], pa.array(w, pa.list_(pa.float64())), pa.array(kept, pa.float64()), pa.array(off, pa.float64())], ["t", "weights", "preserved", "distortion"])
+            yield pa.RecordBatch.from_arrays([t["bar_seconds"], t["t"], pa.array(w, pa.list_(pa.float64())), pa.array(kept, pa.float64()), pa.array(off, pa.float64())], [*PANEL, "t", "weights", "preserved", "distortion"])
 
-    return factor_state(spark, d).select("t", "levels", "component").mapInArrow(build, "t long, weights array<double>, preserved double, distortion double")
+    return factor_state(spark, d).select(*PANEL, "t", "levels", "component").mapInArrow(build, "bar_seconds long, t long, weights array<double>, preserved double, distortion double")
 
 
 @query()
@@ -322,7 +334,7 @@ def frozen_targets(spark: SparkSession, d: str) -> DataFrame:
         o = X.path_outcomes(x, 6)
         return {"t": t[: len(o["change"])], **{k: v for k, v in o.items()}}
 
-    return per_segment(segments(spark, d, SYMBOLS[:1]), ["panel"], body, {"t": L, "change": N, "adverse": N, "largest": N, "crossed": L})
+    return per_segment(segments(spark, d, SYMBOLS[:1]), PANEL, body, {"t": L, "change": N, "adverse": N, "largest": N, "crossed": L})
 
 
 @query()
@@ -379,22 +391,22 @@ def budgeted_baskets(spark: SparkSession, d: str) -> DataFrame:
                 s = np.zeros(len(levels))
                 s[who] = -np.sign(levels[who]) or -1.0
                 got.append(X.budgeted_basket(s, lead, con, np.eye(len(s)) * 1e-8, np.zeros(len(s))))
-            yield pa.RecordBatch.from_arrays([t["t"], pa.array([g[0].tolist() for g in got], pa.list_(pa.float64())), pa.array([g[1] for g in got], pa.bool_())], ["t", "weights", "feasible"])
+            yield pa.RecordBatch.from_arrays([t["bar_seconds"], t["t"], pa.array([g[0].tolist() for g in got], pa.list_(pa.float64())), pa.array([g[1] for g in got], pa.bool_())], [*PANEL, "t", "weights", "feasible"])
 
-    return factor_state(spark, d).select("t", "levels", "component").mapInArrow(build, "t long, weights array<double>, feasible boolean")
+    return factor_state(spark, d).select(*PANEL, "t", "levels", "component").mapInArrow(build, "bar_seconds long, t long, weights array<double>, feasible boolean")
 
 
 @query()
 def kernel_readout(spark: SparkSession, d: str) -> DataFrame:
     """Ridge on the kernel features: moments of the first seven tenths summed by Spark, one
     small solve, accuracy on the rest."""
-    phi = kernel_features(spark, d)
-    span = phi.agg(F.min("t").alias("a"), F.max("t").alias("b"), F.max(F.size("phi")).alias("m")).first()
+    phi = kernel_features(spark, d).withColumn("s", F.expr(SECONDS))
+    span = phi.agg(F.min("s").alias("a"), F.max("s").alias("b"), F.max(F.size("phi")).alias("m")).first()
     empty = spark.createDataFrame([], "n long, accuracy double")
     if span["a"] is None:
         return empty
     m, c, split = span["m"], 6, span["a"] + (span["b"] - span["a"]) * 7 // 10
-    train = phi.where(F.col("t") < split)
+    train = phi.where(F.col("s") < split)
     one = train.agg(
         F.array(*(F.sum(F.col("phi")[i] * F.col("phi")[j]) for i in range(m) for j in range(m))).alias("xx"),
         F.array(*(F.sum(F.when(F.col("y") == k, F.col("phi")[i]).otherwise(0.0)) for i in range(m) for k in range(c))).alias("xy"),
@@ -403,5 +415,5 @@ def kernel_readout(spark: SparkSession, d: str) -> DataFrame:
         return empty
     w = np.linalg.solve(np.array(one["xx"]).reshape(m, m) + 0.01 * np.eye(m), np.array(one["xy"]).reshape(m, c))
     dot = lambda k: F.aggregate(F.zip_with("phi", F.array(*(F.lit(float(v)) for v in w[:, k])), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    s = phi.where(F.col("t") >= split).withColumn("s", F.array(*(dot(k) for k in range(c))))
-    return s.agg(F.count(F.lit(1)).alias("n"), F.avg((F.array_position("s", F.array_max("s")) - 1 == F.col("y")).cast("double")).alias("accuracy"))
+    scored = phi.where(F.col("s") >= split).withColumn("e", F.array(*(dot(k) for k in range(c))))
+    return scored.agg(F.count(F.lit(1)).alias("n"), F.avg((F.array_position("e", F.array_max("e")) - 1 == F.col("y")).cast("double")).alias("accuracy"))
