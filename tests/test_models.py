@@ -142,3 +142,29 @@ def test_panels_hold_every_bar_of_every_length(spark):
     p = panel_segments(M.native(spark.createDataFrame(bars, "feed_id string, symbol string, step long, k long, x double")), M.PANEL, "k", "symbol", ["X", "Y"], "x")
     assert sorted((r.bar_seconds, r.t, tuple(r.xs)) for r in p.collect()) == sorted((step, k, (k, k)) for step, n in ((60, 500), (900, 40)) for k in range(n) if k != 100)
     assert {(r.bar_seconds, r.segment_id) for r in p.collect()} == {(60, 0), (60, 1), (900, 0)}
+
+
+def test_coupling_of_each_day_is_that_of_its_trailing_rows(spark):
+    from tidemill.plans import model_queries as M
+
+    rnd = np.random.default_rng(8)
+    rows = [(bar, k, rnd.normal(size=10).tolist(), rnd.normal(size=10).tolist()) for bar, n in ((3600, 100), (14400, 40)) for k in range(n) if k % 24 != 5]
+    df = spark.createDataFrame(rows, "bar_seconds long, t long, z array<double>, y array<double>").repartition(5)
+    got = {(r.bar_seconds, r.day): r for r in M.trailing_ridge(df, 10, 50).collect()}
+    want = {}
+    for bar, k, _, _ in rows:
+        before = [r for r in rows if r[0] == bar and r[1] * bar // 86400 <= k * bar // 86400][-50:]
+        z, y = np.array([r[2] for r in before]), np.array([r[3] for r in before])
+        want[bar, k * bar // 86400] = (len(z), *D.ridge_matrix(y.T @ z, z.T @ z))
+    assert got.keys() == want.keys()
+    for k, (n, c, cond) in want.items():
+        assert got[k].n == n and np.allclose(got[k].c, c.ravel()) and got[k].condition == pytest.approx(cond)
+
+
+def test_path_outcomes_come_for_every_symbol(spark, monkeypatch):
+    from tidemill.plans import model_queries as M
+
+    bars = [("f", s, 60, k, float(k)) for s in M.SYMBOLS for k in range(10)]
+    monkeypatch.setattr(M, "grid", lambda spark, d: spark.createDataFrame(bars, "feed_id string, symbol string, step long, k long, x double"))
+    got = {r.symbol: r["count"] for r in M.frozen_targets(spark, "").groupBy("symbol").count().collect()}
+    assert got == {s: 4 for s in M.SYMBOLS}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ L, N, B, V = T.LongType(), T.DoubleType(), T.BooleanType(), T.ArrayType(T.Double
 #: A fixed weak coupling between neighbours, per second squared.
 SEED, DT = 20260718, 60.0
 THREE = SYMBOLS[:3]
+#: Bond dimension, landmarks, samples of the coupling's window and replicates, as in the reference.
+CHI, LANDMARKS, WINDOW, REPLICATES = 16, 64, 28_800, 2_000
 
 
 def coupling(n: int) -> np.ndarray:
@@ -85,7 +88,7 @@ def trajectory_filter(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def tensor_chain_filter(spark: SparkSession, d: str) -> DataFrame:
     def body(t: np.ndarray, xs: np.ndarray) -> dict:
-        a, lost = Q.tensor_chain(standardised(xs), coupling(xs.shape[1]), DT, 8, SEED + int(t[0]))
+        a, lost = Q.tensor_chain(standardised(xs), coupling(xs.shape[1]), DT, CHI, SEED + int(t[0]))
         return {"t": t[1:], "activity": a.tolist(), "lost_weight": lost}
 
     return per_segment(segments(spark, d, SYMBOLS), PANEL, body, {"t": L, "activity": V, "lost_weight": N})
@@ -96,7 +99,7 @@ def reservoir_features(spark: SparkSession, d: str) -> DataFrame:
     def body(t: np.ndarray, xs: np.ndarray) -> dict:
         return {"t": t[1:], "observables": Q.reservoir(standardised(xs), SEED).tolist()}
 
-    return per_segment(segments(spark, d, SYMBOLS[:6]), PANEL, body, {"t": L, "observables": V})
+    return per_segment(segments(spark, d, SYMBOLS), PANEL, body, {"t": L, "observables": V})
 
 
 def _next_largest(spark: SparkSession, d: str, names: list[str]) -> DataFrame:
@@ -109,35 +112,41 @@ def _next_largest(spark: SparkSession, d: str, names: list[str]) -> DataFrame:
     return per_segment(segments(spark, d, names), PANEL, body, {"t": L, "z": V, "y": L})
 
 
+def moments(rows: DataFrame, m: int, c: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Of rows x (array of m), y (class): sums of x xᵀ and of x by class; None without rows."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, xx, xy = 0, np.zeros((m, m)), np.zeros((m, c))
+        for t in batches:
+            x = t["x"].flatten().to_numpy().reshape(-1, m)
+            n, xx, xy = n + len(x), xx + x.T @ x, xy + x.T @ np.eye(c)[t["y"].to_numpy()]
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([[*xx.ravel(), *xy.ravel()]], pa.list_(pa.float64()))], ["v"])
+
+    sums = rows.mapInArrow(part, "v array<double>").select(F.posexplode("v")).groupBy("pos").agg(F.sum("col").alias("v")).collect()  # m * (m + c) rows
+    v = np.array([r["v"] for r in sorted(sums, key=lambda r: r["pos"])])
+    return (v[: m * m].reshape(m, m), v[m * m :].reshape(m, c)) if len(v) else None
+
+
 @query()
 def reservoir_readout(spark: SparkSession, d: str) -> DataFrame:
     """Ridge readout of the observables: moments summed by Spark, a small solve, scores.
 
     The first seven tenths of the time train, the rest is scored.
     """
-    obs = reservoir_features(spark, d).join(_next_largest(spark, d, SYMBOLS[:6]).select(*PANEL, "t", "y"), [*PANEL, "t"])
+    obs = reservoir_features(spark, d).join(_next_largest(spark, d, SYMBOLS).select(*PANEL, "t", "y"), [*PANEL, "t"])
     obs = obs.withColumn("s", F.expr(SECONDS))
     b = obs.agg((F.min("s") + F.expr("(max(s) - min(s)) * 7 div 10")).alias("split")).first()["split"]
     if b is None:
         return spark.createDataFrame([], "n long, accuracy double, brier double")
-    k, c = 14, 6
-
-    def moments(batches):
-        xx, xy = np.zeros((k, k)), np.zeros((k, c))
-        for t in batches:
-            x = np.hstack([np.ones((t.num_rows, 1)), np.array(t["observables"].to_pylist(), dtype=float).reshape(-1, k - 1)])
-            xx += x.T @ x
-            xy += x.T @ np.eye(c)[t["y"].to_numpy()]
-        yield pa.RecordBatch.from_arrays([pa.array([xx.ravel().tolist()]), pa.array([xy.ravel().tolist()])], ["xx", "xy"])
-
-    part = obs.where(F.col("s") < b).select("observables", "y").mapInArrow(moments, "xx array<double>, xy array<double>")
-    s = part.agg(F.array(*(F.sum(F.col("xx")[i]) for i in range(k * k))).alias("xx"), F.array(*(F.sum(F.col("xy")[i]) for i in range(k * c))).alias("xy")).first()
-    if s["xx"][0] is None:
+    k, c = 2 * len(SYMBOLS) + 2, len(SYMBOLS)
+    x = F.concat(F.array(F.lit(1.0)), "observables")
+    sums = moments(obs.where(F.col("s") < b).select(x.alias("x"), "y"), k, c)
+    if sums is None:
         return spark.createDataFrame([], "n long, accuracy double, brier double")
     penalty = 5.0 * np.eye(k)
     penalty[0, 0] = 0.0
-    w = np.linalg.solve(np.array(s["xx"]).reshape(k, k) + penalty, np.array(s["xy"]).reshape(k, c))
-    x = F.concat(F.array(F.lit(1.0)), "observables")
+    w = np.linalg.solve(sums[0] + penalty, sums[1])
     dot = lambda j: F.aggregate(F.zip_with(x, F.array(*(F.lit(float(v)) for v in w[:, j])), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     scored = obs.where(F.col("s") >= b).withColumn("e", F.transform(F.array(*(dot(j) for j in range(c))), lambda v: F.exp(v)))
     p = F.transform("e", lambda v: v / F.aggregate("e", F.lit(0.0), lambda a, b: a + b))
@@ -148,21 +157,24 @@ def reservoir_readout(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def kernel_features(spark: SparkSession, d: str) -> DataFrame:
-    """Fidelity kernel of every row against 16 evenly placed landmarks, in Nyström form."""
-    rows = _next_largest(spark, d, SYMBOLS[:6]).withColumn("s", F.expr(SECONDS))
+    """Fidelity kernel of every row against 64 evenly placed landmarks, in Nyström form."""
+    rows = _next_largest(spark, d, SYMBOLS).withColumn("s", F.expr(SECONDS))
     span = rows.agg(F.min("s").alias("a"), F.max("s").alias("b")).first()
     if span["a"] is None:
         return spark.createDataFrame([], "bar_seconds long, t long, y long, phi array<double>")
-    part = F.expr(f"(s - {span['a']}) * 16 div {span['b'] - span['a'] + 1}")
-    marks = rows.groupBy(part.alias("part")).agg(F.min_by("z", F.struct("s", *PANEL)).alias("z")).orderBy("part")  # at most 16 rows
-    z = np.array([r["z"] for r in marks.collect()], dtype=float).reshape(-1, 6)
-    shared = spark.sparkContext.broadcast(np.array([Q.encode(v, coupling(6), DT) for v in z]).reshape(len(z), 64))
+    part = F.expr(f"(s - {span['a']}) * {LANDMARKS} div {span['b'] - span['a'] + 1}")
+    marks = rows.groupBy(part.alias("part")).agg(F.min_by("z", F.struct("s", *PANEL)).alias("z")).orderBy("part")  # at most LANDMARKS rows
+    n = len(SYMBOLS)
+    encoded = lambda zs: np.array([Q.encode(np.array(v), coupling(n), DT) for v in zs]).reshape(-1, 1 << n)
+    shared = spark.sparkContext.broadcast(encoded([r["z"] for r in marks.collect()]))
 
     def features(batches):
         m = shared.value
+        own = Q.fidelity(m, m)
         for t in batches:
-            s = np.array([Q.encode(np.array(v), coupling(6), DT) for v in t["z"].to_pylist()]).reshape(-1, 64)
-            phi = Q.nystroem(Q.fidelity(s, m), Q.fidelity(m, m))
+            z = t["z"].to_pylist()
+            # 1,024 amplitudes a row: 500 rows at once
+            phi = np.concatenate([Q.nystroem(Q.fidelity(encoded(z[i : i + 500]), m), own) for i in range(0, max(len(z), 1), 500)])
             yield pa.RecordBatch.from_arrays([t["bar_seconds"], t["t"], t["y"], pa.array(phi.tolist(), pa.list_(pa.float64()))], ["bar_seconds", "t", "y", "phi"])
 
     return rows.select(*PANEL, "t", "y", "z").mapInArrow(features, "bar_seconds long, t long, y long, phi array<double>")
@@ -254,35 +266,48 @@ def replay(spark: SparkSession, d: str) -> DataFrame:
     return done.select(*KEYS, "segment_id", "k", "forecast", (F.col("forecast") - F.col("x")).alias("error"), "held")
 
 
+def trailing_ridge(pairs: DataFrame, n: int, window: int) -> DataFrame:
+    """Of rows bar_seconds, t, z, y (arrays of n): at each day's last row the ridge matrix ``c`` of
+    the last ``window`` rows of its panel, row by row, with their number and the condition."""
+    day = F.expr(f"{SECONDS} div 86400")
+    rows = pairs.select(*PANEL, "t", "z", "y", day.alias("day"))
+    last = F.coalesce(F.lead("day").over(W.partitionBy(*PANEL).orderBy("t")) != F.col("day"), F.lit(True))
+    kinds = {"n": L, "c": V, "condition": N}
+
+    def advance(state, b: pa.RecordBatch):
+        panel, flags = b["bar_seconds"].to_numpy(), b["last"].to_numpy(zero_copy_only=False)
+        zy = np.hstack([b[c].flatten().to_numpy().reshape(-1, n) for c in ("z", "y")])
+        out: dict[str, list] = {k: [None] * b.num_rows for k in kinds}
+        at = 0
+        for end in sorted({*(np.flatnonzero(flags) + 1).tolist(), b.num_rows}):
+            if state is None or state[0] != panel[at]:
+                state = panel[at], np.zeros((0, 2 * n))
+            state = state[0], np.concatenate([state[1], zy[at:end]])[-window:]
+            if flags[end - 1]:
+                z, y = state[1][:, :n], state[1][:, n:]
+                c, cond = D.ridge_matrix(y.T @ z, z.T @ z)
+                out["n"][end - 1], out["c"][end - 1], out["condition"][end - 1] = len(z), c.ravel().tolist(), cond
+            at = end
+        return state, {"n": pa.array(out["n"], pa.int64()), "c": pa.array(out["c"], pa.list_(pa.float64())), "condition": pa.array(out["condition"], pa.float64())}
+
+    return ordered_scan(rows.withColumn("last", last), PANEL, [*PANEL, "t"], advance, kinds).where("last").select(*PANEL, "day", *kinds)
+
+
 @query()
 def ridge_coupling(spark: SparkSession, d: str) -> DataFrame:
-    """Matrix of lagged slopes by ridge regression over each week, one row per cell."""
+    """Matrix of lagged slopes by ridge regression at each day's end over the last 28,800
+    samples of all symbols, one row per cell."""
 
     def body(t: np.ndarray, xs: np.ndarray) -> dict:
         r = np.diff(xs, axis=0)
         return {"t": t[2:], "z": r[:-1].tolist(), "y": r[1:].tolist()}
 
-    pairs = per_segment(segments(spark, d, THREE), PANEL, body, {"t": L, "z": V, "y": V})
-    n = len(THREE)
-    cell = lambda a, b, i, j: F.sum(F.col(a)[i] * F.col(b)[j])
-    m = pairs.groupBy(*PANEL, F.expr(f"{SECONDS} div 604800").alias("week")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*(cell("y", "z", i, j) for i in range(n) for j in range(n))).alias("xy"),
-        F.array(*(cell("z", "z", i, j) for i in range(n) for j in range(n))).alias("xx"),
-    )
-
-    def solve(batches):
-        for t in batches:
-            out = []
-            for bar, week, k, xy, xx in zip(*(t[c].to_pylist() for c in (*PANEL, "week", "n", "xy", "xx"))):
-                c, cond = D.ridge_matrix(np.array(xy).reshape(n, n), np.array(xx).reshape(n, n))
-                state = "INSUFFICIENT_HISTORY" if k < 10 else "REJECTED_NUMERICAL_CONDITION" if cond > 1e12 else "ACCEPTED"
-                out += [(bar, week, k, THREE[i], THREE[j], float(c[i, j]), cond, state) for i in range(n) for j in range(n)]
-            cols = list(zip(*out)) if out else [[]] * 8
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], [*PANEL, "week", "n", "affected", "source", "c", "condition", "status"])
-
-    return m.mapInArrow(solve, "bar_seconds long, week long, n long, affected string, source string, c double, condition double, status string")
+    pairs = per_segment(segments(spark, d, SYMBOLS), PANEL, body, {"t": L, "z": V, "y": V})
+    n, names = len(SYMBOLS), F.array(*map(F.lit, SYMBOLS))
+    state = F.expr("CASE WHEN n < 10 THEN 'INSUFFICIENT_HISTORY' WHEN condition > 1e12D THEN 'REJECTED_NUMERICAL_CONDITION' ELSE 'ACCEPTED' END")
+    m = trailing_ridge(pairs, n, WINDOW).select("*", F.posexplode("c").alias("i", "v"))
+    name = lambda e, a: F.element_at(names, F.expr(e) + 1).alias(a)
+    return m.select(*PANEL, "day", "n", name(f"cast(i div {n} as int)", "affected"), name(f"i % {n}", "source"), F.col("v").alias("c"), "condition", state.alias("status"))
 
 
 @query()
@@ -334,19 +359,20 @@ def frozen_targets(spark: SparkSession, d: str) -> DataFrame:
         o = X.path_outcomes(x, 6)
         return {"t": t[: len(o["change"])], **{k: v for k, v in o.items()}}
 
-    return per_segment(segments(spark, d, SYMBOLS[:1]), PANEL, body, {"t": L, "change": N, "adverse": N, "largest": N, "crossed": L})
+    own = native(grid(spark, d)).where(F.col("symbol").isin(SYMBOLS)).withColumn("one", F.lit("x"))
+    return per_segment(panel_segments(own, [*PANEL, "symbol"], "k", "one", ["x"], "x"), [*PANEL, "symbol"], body, {"t": L, "change": N, "adverse": N, "largest": N, "crossed": L})
 
 
 @query()
 def block_bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    """Bounds of the forecasts' Brier improvement on the training prior, by symbol, from 200
+    """Bounds of the forecasts' Brier improvement on the training prior, by symbol, from 2,000
     replicates of blocks of observed time; every symbol's replicates are spread over tasks."""
     tr, oo = _parts(spark, d)
     prior = tr.groupBy("symbol").agg(F.avg("up").alias("q"))
     # per symbol and day one row: the block unit, which bounds what a replicate touches
     day = oo.join(prior, "symbol").groupBy("symbol", "day").agg(F.sum(F.expr("(q - up) * (q - up) - (p - up) * (p - up)")).alias("gain"), F.count(F.lit(1)).alias("n"))
     days = day.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("day", "gain", "n"))).alias("d"))
-    reps = days.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(199))))
+    reps = days.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(REPLICATES - 1))))
 
     def draw(batches):
         for t in batches:
@@ -405,15 +431,11 @@ def kernel_readout(spark: SparkSession, d: str) -> DataFrame:
     empty = spark.createDataFrame([], "n long, accuracy double")
     if span["a"] is None:
         return empty
-    m, c, split = span["m"], 6, span["a"] + (span["b"] - span["a"]) * 7 // 10
-    train = phi.where(F.col("s") < split)
-    one = train.agg(
-        F.array(*(F.sum(F.col("phi")[i] * F.col("phi")[j]) for i in range(m) for j in range(m))).alias("xx"),
-        F.array(*(F.sum(F.when(F.col("y") == k, F.col("phi")[i]).otherwise(0.0)) for i in range(m) for k in range(c))).alias("xy"),
-    ).first()
-    if one["xx"][0] is None:
+    m, c, split = span["m"], len(SYMBOLS), span["a"] + (span["b"] - span["a"]) * 7 // 10
+    sums = moments(phi.where(F.col("s") < split).select(F.col("phi").alias("x"), "y"), m, c)
+    if sums is None:
         return empty
-    w = np.linalg.solve(np.array(one["xx"]).reshape(m, m) + 0.01 * np.eye(m), np.array(one["xy"]).reshape(m, c))
+    w = np.linalg.solve(sums[0] + 0.01 * np.eye(m), sums[1])
     dot = lambda k: F.aggregate(F.zip_with("phi", F.array(*(F.lit(float(v)) for v in w[:, k])), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     scored = phi.where(F.col("s") >= split).withColumn("e", F.array(*(dot(k) for k in range(c))))
     return scored.agg(F.count(F.lit(1)).alias("n"), F.avg((F.array_position("e", F.array_max("e")) - 1 == F.col("y")).cast("double")).alias("accuracy"))
