@@ -168,3 +168,11 @@ def test_path_outcomes_come_for_every_symbol(spark, monkeypatch):
     monkeypatch.setattr(M, "grid", lambda spark, d: spark.createDataFrame(bars, "feed_id string, symbol string, step long, k long, x double"))
     got = {r.symbol: r["count"] for r in M.frozen_targets(spark, "").groupBy("symbol").count().collect()}
     assert got == {s: 4 for s in M.SYMBOLS}
+
+
+def test_every_row_with_its_outcome_before_the_split_trains(spark):
+    from tidemill.plans.scoring_queries import before_split
+
+    rows = [(k, 3600, k // 24) for k in range(24 * 20)]  # 20 days of hours: the split is day 5
+    got = before_split(spark.createDataFrame(rows, "k long, step long, day long")).collect()
+    assert sorted(r.k for r in got) == list(range(5 * 24 - 1))

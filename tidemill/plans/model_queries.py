@@ -19,7 +19,7 @@ from tidemill.operators import joins as J
 from tidemill.operators.sequential import ordered_scan, panel_segments, per_segment, standardised
 from tidemill.plans.base import KEYS, Registry, grid
 from tidemill.plans.join_queries import SYMBOLS
-from tidemill.plans.scoring_queries import _parts
+from tidemill.plans.scoring_queries import _parts, before_split, forecasts
 from tidemill.session import table
 
 query = Registry()
@@ -367,8 +367,8 @@ def frozen_targets(spark: SparkSession, d: str) -> DataFrame:
 def block_bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     """Bounds of the forecasts' Brier improvement on the training prior, by symbol, from 2,000
     replicates of blocks of observed time; every symbol's replicates are spread over tasks."""
-    tr, oo = _parts(spark, d)
-    prior = tr.groupBy("symbol").agg(F.avg("up").alias("q"))
+    _, oo = _parts(spark, d)
+    prior = before_split(forecasts(spark, d)).groupBy("symbol").agg(F.avg("up").alias("q"))
     # per symbol and day one row: the block unit, which bounds what a replicate touches
     day = oo.join(prior, "symbol").groupBy("symbol", "day").agg(F.sum(F.expr("(q - up) * (q - up) - (p - up) * (p - up)")).alias("gain"), F.count(F.lit(1)).alias("n"))
     days = day.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("day", "gain", "n"))).alias("d"))

@@ -29,7 +29,7 @@ def forecasts(spark: SparkSession, d: str) -> DataFrame:
     w = S.ordered(KEYS)
     e = edges(spark, d).withColumn("nxt", F.when(F.lead("contiguous").over(w), F.lead("ret").over(w))).where("nxt IS NOT NULL")
     return e.select(
-        *KEYS, "k", F.expr("CASE WHEN nxt > 1e-4D THEN 1 WHEN nxt < -1e-4D THEN 2 ELSE 0 END").alias("y"), F.expr("IF(nxt > 0, 1D, 0D)").alias("up"), F.expr("(k % 7 + 1) / 9D").alias("p"),
+        *KEYS, "step", "k", F.expr("CASE WHEN nxt > 1e-4D THEN 1 WHEN nxt < -1e-4D THEN 2 ELSE 0 END").alias("y"), F.expr("IF(nxt > 0, 1D, 0D)").alias("up"), F.expr("(k % 7 + 1) / 9D").alias("p"),
         F.expr("(k % 5 + 1) / 10D").alias("p0"), F.expr("(9 - k % 5) / 20D").alias("p1"), F.expr("(9 - k % 5) / 20D").alias("p2"),
         F.expr("k * step div 86400").alias("day"), F.expr("(k * step div 3600) % 24 div 6").alias("session"),
         F.expr("CASE WHEN abs(ret) >= 4e-4D THEN 3 WHEN abs(ret) >= 2e-4D THEN 2 WHEN abs(ret) >= 1e-4D THEN 1 ELSE 0 END").alias("level"),
@@ -95,6 +95,12 @@ def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return f.where("k % 2 = 0 AND day < split").drop("split"), f.where("day >= split").drop("split")
 
 
+def before_split(f: DataFrame) -> DataFrame:
+    """Every forecast whose outcome, the next bar, ends before the last two weeks begin."""
+    split = f.agg((F.max("day") - 14).alias("split"))  # one row
+    return f.join(F.broadcast(split), F.lit(True)).where("(k + 2) * step <= split * 86400").drop("split")
+
+
 @query(f"WITH {_CLIM} SELECT feed_id, symbol, k, tier, round(p_0, 9) + 0.0 AS p_0, round(p_1, 9) + 0.0 AS p_1, round(p_2, 9) + 0.0 AS p_2 FROM cl")
 def climatology_3class(spark: SparkSession, d: str) -> DataFrame:
     tr, oo = _parts(spark, d)
