@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemill.llm.contamination import leaked_passages
 from tidemill.llm.nearest_stream import best_candidates, pair_by_nearest_time, replay
 from tidemill.llm.tokenizer import token_ids
-from tidemill.llm.toxicity import fit, rates, score_documents
+from tidemill.llm.toxicity import calibration, fit, rates, read_documents, score_documents
 from tidemill.session import table
 
 SERIES = ["feed_id", "symbol"]
@@ -64,9 +64,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its score for abusive, hateful or sexual passages."""
-    documents = table(spark, sf_dir, "documents")
-    model = fit(documents, table(spark, sf_dir, "labels"))
-    return score_documents(documents.select("doc_id", "source", "text"), model).drop("text")
+    documents = read_documents(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return score_documents(documents, fit(documents, table(spark, sf_dir, "labels")))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +77,12 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates(p9_scores(spark, sf_dir))
 
 
-QUERIES = [p4_found, p4_nearest, p7_ids, p8_found, p8_leaks, p9_found, p9_scores, p9_rates]
+def p9_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often labelled documents of each range of scores are marked."""
+    return calibration(p9_scores(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+QUERIES = [p4_found, p4_nearest, p7_ids, p8_found, p8_leaks, p9_found, p9_scores, p9_rates, p9_calibration]
 
 _NEAREST = """
 WITH pts AS (
