@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.contamination import leaked_passages
+from tidemill.llm.contamination import leaked_passages, without_leaks
 from tidemill.llm.nearest_stream import best_candidates, pair_by_nearest_time, replay
 from tidemill.llm.tokenizer import token_ids
 from tidemill.llm.toxicity import calibration, fit, rates, read_documents, score_documents
@@ -53,13 +53,18 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document that carries a passage of a benchmark item, with its place."""
+    """Every passage of a benchmark item in a document, with its place."""
     items = table(spark, sf_dir, "benchmark").select("item_id", "text")
     return leaked_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", items, "item_id", "text")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p8_leaks(spark, sf_dir).select("doc_id", "item_id")
+    return p8_leaks(spark, sf_dir).where("place = 1").select("doc_id", "item_id")
+
+
+def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of the documents that carry no passage of an item."""
+    return without_leaks(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", p8_found(spark, sf_dir))
 
 
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +87,7 @@ def p9_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibration(p9_scores(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
-QUERIES = [p4_found, p4_nearest, p7_ids, p8_found, p8_leaks, p9_found, p9_scores, p9_rates, p9_calibration]
+QUERIES = [p4_found, p4_nearest, p7_ids, p8_found, p8_leaks, p8_clean, p9_found, p9_scores, p9_rates, p9_calibration]
 
 _NEAREST = """
 WITH pts AS (
