@@ -51,6 +51,21 @@ def test_grid_marks_missing_periods(spark):
     assert regular_grid(df.limit(0), ["key"], "ts", "y", "step").count() == 0
 
 
+def test_marks_come_from_the_kernel(spark):
+    """What tells a missing period is the support that the kernel gives it, in the plan too."""
+    s = lambda n: T0 + timedelta(seconds=n)
+    df = readings(spark, [("a", s(0), 1.0, 60, ""), ("a", s(30), 2.0, 60, ""), ("a", s(70), math.inf, 60, ""), ("a", s(190), 1.0, 60, "")])
+    got = {r.period_start: r for r in regular_grid(df, ["key"], "ts", "y", "step").collect()}
+    own = [got[k].own_support for k in sorted(got)]
+    assert own[0] == pytest.approx((15 / 16 + 1) ** 2 / ((15 / 16) ** 2 + 1)) and own[1] == pytest.approx(1) and own[2] == 0 and own[3] == pytest.approx(1)
+    assert [got[k].missing for k in sorted(got)] == [False, False, True, False]
+    marks = regular_grid(df, ["key"], "ts", "y", "step", extent="day").where("missing").select("key", "period_start")
+    plan = marks._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS oq" in plan and "pow(" in plan.lower()
+    with pytest.raises(ValueError):
+        regular_grid(df, ["key"], "ts", "y", "step", bandwidth=0.5)
+
+
 def test_days_are_apart(spark):
     rows = [("a", T0 + timedelta(hours=h), 1.0, 3600, "") for h in (1, 3, 30, 33)]
     got = regular_grid(readings(spark, rows), ["key"], "ts", "y", "step", extent="day").where("missing").count()

@@ -10,6 +10,7 @@ from tidemill.operators.faults import flag_faults
 from tidemill.operators.regrid import regular_grid
 from tidemill.operators.rolling import distinct_times_per_day, latest_per_day, rolling_totals
 from tidemill.operators.timestamps import normalise_timestamps
+from tidemill.plans.base import rd
 from tidemill.session import table
 
 SERIES = ["feed_id", "symbol"]
@@ -64,7 +65,8 @@ def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The regular series of each source, from its first to its last reading."""
-    return regular_grid(_readings(spark, sf_dir), SERIES, "timestamp", "close", "bar_seconds")
+    g = regular_grid(_readings(spark, sf_dir), SERIES, "timestamp", "close", "bar_seconds")
+    return g.withColumns({c: rd(c, 6) for c in ("own_support", "estimate", "support")})
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,6 +121,24 @@ rolled AS (
 ORACLES = {
     "p2_found": _DAILY + "SELECT measure, feed_id, symbol, strftime(day, '%Y-%m-%d') AS day FROM rolled WHERE active AND 60 * total_7 < 7 * total_30",
     "p2_rolling": _DAILY + "SELECT measure, feed_id, symbol, day, CAST(value AS BIGINT) AS value, active, total_7, total_30, total_7 / 7.0::DOUBLE AS avg_7, total_30 / 30.0::DOUBLE AS avg_30 FROM rolled",
+    "p3_grid": """
+WITH r AS (
+  SELECT b.feed_id, b.symbol, s.bar_seconds::BIGINT AS step_s, epoch_us(b.timestamp) // (s.bar_seconds::BIGINT * 1000000) AS p,
+    epoch_us(b.timestamp) / (s.bar_seconds * 1000000.0::DOUBLE) AS x, b.close AS y
+  FROM bars b JOIN series s USING (feed_id, symbol) WHERE close IS NOT NULL),
+e AS (SELECT *, unnest(range(least(p, ceil(x - 2.5)::BIGINT), greatest(p, floor(x + 1.5)::BIGINT) + 1)) AS g FROM r),
+k AS (SELECT *, x - 0.5 - g AS d, greatest(0.0::DOUBLE, 1 - pow((x - 0.5 - g) / 2.0::DOUBLE, 2)) AS w FROM e),
+f AS (SELECT *, CASE WHEN isfinite(y) THEN w ELSE 0 END AS v, CASE WHEN isfinite(y) THEN y ELSE 0 END AS z, CASE WHEN g = p THEN w ELSE 0 END AS o FROM k),
+m AS (
+  SELECT feed_id, symbol, step_s, g, count(*) FILTER (g = p) AS n, sum(o) AS o0, sum(o * o) AS oq, sum(v) AS s0, sum(v * d) AS s1, sum(v * d * d) AS s2,
+    sum(v * z) AS t0, sum(v * d * z) AS t1, sum(v * v) AS q FROM f GROUP BY ALL),
+span AS (SELECT feed_id, symbol, step_s, min(g) FILTER (n > 0) AS a, max(g) FILTER (n > 0) AS b FROM m GROUP BY ALL),
+cal AS (SELECT feed_id, symbol, step_s, unnest(range(a, b + 1)) AS g FROM span),
+u AS (SELECT c.*, coalesce(n, 0) AS n, coalesce(CASE WHEN oq > 0 THEN o0 * o0 / oq END, 0) AS own, coalesce(CASE WHEN q > 0 THEN s0 * s0 / q END, 0) AS sup, s0, s1, s2, t0, t1, s0 * s2 - s1 * s1 AS det
+  FROM cal c LEFT JOIN m USING (feed_id, symbol, step_s, g))
+SELECT feed_id, symbol, step_s, g * step_s AS period_start, n AS n_readings, round(own, 6) + 0.0 AS own_support, n = 0 AS missing,
+  round(CASE WHEN sup < 1.5 THEN NULL WHEN s0 > 0 AND det > 1e-9 * s0 * s0 THEN (t0 * s2 - t1 * s1) / det WHEN s0 > 0 THEN t0 / s0 END, 6) + 0.0 AS estimate,
+  round(sup, 6) + 0.0 AS support, sup >= 1.5 AS supported FROM u""",
     "p3_found": """
 WITH r AS (
   SELECT DISTINCT b.feed_id, b.symbol, s.bar_seconds::BIGINT AS step,
