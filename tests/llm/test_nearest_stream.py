@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 
-from tidemill.llm.nearest_stream import best_candidates, nearest, pair_by_nearest_time, replay
+from tidemill.llm.nearest_stream import best_candidates, nearest, pair_by_nearest_time, pair_tables, replay
 
 T0 = datetime(2024, 1, 1)
 SECOND = 1_000_000
@@ -36,6 +36,30 @@ def test_against_brute_force(spark, tmp_path):
             want.append((k, i, j, int((ts - t).total_seconds()) * SECOND))
     got = pair(spark, l, r, tmp_path, tol * SECOND, slot_us=500 * SECOND)  # many slots
     assert sorted(tuple(x) for x in got.collect()) == sorted(want) and len(want) > 30
+    for batches in (1, 7):
+        got = best_candidates(pair_tables(l, r, ["key"], "t", "lid", "ts", "rid", tol * SECOND, batches=batches), ["key"], "lid", "rid")
+        assert sorted(tuple(x) for x in got.collect()) == sorted(want)
+
+
+def test_tables_stream_with_little_state(spark):
+    """Twelve batches: what waits and what can still be reached is all that is kept."""
+    rnd = random.Random(9)
+    right = [(f"s{i % 4}", T0 + timedelta(seconds=7 * (i // 4)), i) for i in range(6000)]
+    left = [(f"s{i % 4}", T0 + timedelta(seconds=rnd.randrange(10_500)), i) for i in range(200)]
+    rnd.shuffle(right)
+    l, r = spark.createDataFrame(left, "key string, t timestamp, lid long"), spark.createDataFrame(right, "key string, ts timestamp, rid long")
+    kept, emitted, provider = [], [], []
+
+    def watch(progress, q):
+        rows = spark.read.format("statestore").load(progress).selectExpr("coalesce(sum(length(value.groupState.left_us) + length(value.groupState.right_us)), 0) AS n").first()["n"]
+        kept.append(rows // 8)
+        provider.append(q.lastProgress.stateOperators[0].customMetrics)
+        emitted.append(q.lastProgress.batchId)
+
+    got = best_candidates(pair_tables(l, r, ["key"], "t", "lid", "ts", "rid", 60 * SECOND, watch=watch), ["key"], "lid", "rid").collect()
+    assert len(got) == 200 and all(abs(x.gap_us) <= 3_500_000 for x in got)
+    assert len(kept) == 13 and max(kept) < 6200 / 10 and kept[0] > 0 and kept[-1] == 0
+    assert any("rocksdb" in k for k in provider[0])
 
 
 def test_ties_and_bounds():
@@ -51,6 +75,8 @@ def test_empty_sides(spark, tmp_path):
     assert pair(spark, l.limit(0), r, tmp_path / "1", SECOND).count() == 0
     assert pair(spark, l, r.limit(0), tmp_path / "2", SECOND).count() == 0
     assert pair(spark, l, r, tmp_path / "3", SECOND).count() == 1
+    tables = lambda a, b: pair_tables(a, b, ["key"], "t", "lid", "ts", "rid", SECOND).count()
+    assert tables(l.limit(0), r) == 0 == tables(l, r.limit(0)) == tables(l.limit(0), r.limit(0)) and tables(l, r) == 1
 
 
 def test_many_batches_emit_and_evict(spark, tmp_path):

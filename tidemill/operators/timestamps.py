@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 from zoneinfo import ZoneInfo
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -240,23 +241,50 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.assign(instant_us=pd.array(out, dtype="Int64"))
 
 
-def _exists(df: DataFrame, path: str) -> bool:
-    jvm = df.sparkSession._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).exists(p)
+def _committed(spark: SparkSession, path: str) -> list[str]:
+    """The batches of the dictionary at ``path``; what is still being written begins with _."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    return sorted(f.getPath().toString() for f in fs.listStatus(p) if not f.getPath().getName().startswith(("_", ".")))
+
+
+def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """The dictionary as it is now, each key once.
+
+    Two runs at a time may both have parsed a key: they parsed it alike, so one is taken.
+    """
+    batches = _committed(spark, f"{path}/v{GRAMMAR_VERSION}")
+    if not batches:
+        return spark.createDataFrame([], _DICT_SCHEMA)
+    d = spark.read.schema(_DICT_SCHEMA).parquet(*batches)
+    if len(batches) == 1:
+        return d
+    return d.groupBy("raw", "zone", "date_order").agg(F.min("instant_us").alias("instant_us"))
 
 
 def extend_dictionary(keys: DataFrame, path: str) -> DataFrame:
     """Parse the distinct (raw, zone, date_order) of ``keys`` that the dictionary at
-    ``path`` lacks, append them to it, and return the whole dictionary."""
+    ``path`` lacks, add them to it, and return the whole dictionary.
+
+    The new entries are written beside the dictionary and join it by one rename, so a
+    reader sees all of a batch or nothing, and a run that breaks off leaves it as it was.
+    """
     spark = keys.sparkSession
-    path = f"{path}/v{GRAMMAR_VERSION}"
     new = keys.select("raw", "zone", "date_order").distinct()
-    if _exists(keys, path):
-        known = spark.read.schema(_DICT_SCHEMA).parquet(path)
-        new = new.alias("n").join(known.alias("k"), _same("n", "k"), "left_anti")
-    new.mapInPandas(_parse_batches, _DICT_SCHEMA).write.mode("append").parquet(path)
-    return spark.read.schema(_DICT_SCHEMA).parquet(path)
+    if _committed(spark, f"{path}/v{GRAMMAR_VERSION}"):
+        new = new.alias("n").join(read_dictionary(spark, path).alias("k"), _same("n", "k"), "left_anti")
+    name = uuid.uuid4().hex
+    beside, batch = (spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{GRAMMAR_VERSION}/{n}") for n in (f"_{name}", name))
+    fs = beside.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        new.mapInPandas(_parse_batches, _DICT_SCHEMA).write.parquet(beside.toString())
+        if not spark.read.schema(_DICT_SCHEMA).parquet(beside.toString()).isEmpty() and not fs.rename(beside, batch):
+            raise OSError(f"{batch.toString()} could not be published")
+    finally:
+        fs.delete(beside, True)
+    return read_dictionary(spark, path)
 
 
 def _same(a: str, b: str) -> Column:

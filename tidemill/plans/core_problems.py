@@ -11,7 +11,7 @@ from tidemill.operators.regrid import regular_grid
 from tidemill.operators.rolling import distinct_times_per_day, latest_per_day, rolling_totals
 from tidemill.operators.timestamps import normalise_timestamps
 from tidemill.plans.base import rd
-from tidemill.session import table
+from tidemill.session import shared_dir, table
 
 SERIES = ["feed_id", "symbol"]
 TIME_FIELDS = ["published_at", "known_at", "sealed_before_market_data_through"]
@@ -23,6 +23,11 @@ def _with_zone(events: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame
     return events.join(zones, "jurisdiction", "left")
 
 
+def instants(spark: SparkSession) -> str:
+    """Where the instants of time texts are kept: each text is parsed by the first run that meets it."""
+    return f"{shared_dir(spark)}/instants"
+
+
 def exposed_pairs(events: DataFrame) -> DataFrame:
     """One row per event and pair with an exposure other than 0: column ``symbol``."""
     keep = [c for c in events.columns if c != "pair_exposures"]
@@ -33,7 +38,7 @@ def exposed_pairs(events: DataFrame) -> DataFrame:
 def p1_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record and exposed pair with the sigma_eps available at its time."""
     ev = table(spark, sf_dir, "legal_events").select("event_seq", "jurisdiction", "known_at", "assessment_created_at", "pair_exposures", "feed_id")
-    ev = normalise_timestamps(_with_zone(ev, spark, sf_dir), "known_at", "time_zone", "date_order", "known_us")
+    ev = normalise_timestamps(_with_zone(ev, spark, sf_dir), "known_at", "time_zone", "date_order", "known_us", instants(spark))
     ev = ev.where(F.col("known_us").isNotNull() & F.col("assessment_created_at").isNotNull())
     ev = ev.withColumn("t", F.greatest(F.timestamp_micros("known_us"), F.col("assessment_created_at")))
     ev = exposed_pairs(ev.select("event_seq", "feed_id", "pair_exposures", "t"))
@@ -89,7 +94,7 @@ def p6_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "legal_events").select("event_seq", "jurisdiction", *TIME_FIELDS)
     fields = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("raw")) for c in TIME_FIELDS)))
     rows = ev.select("event_seq", "jurisdiction", fields.alias("f")).select("event_seq", "jurisdiction", "f.field", "f.raw")
-    return normalise_timestamps(_with_zone(rows, spark, sf_dir), "raw", "time_zone", "date_order")
+    return normalise_timestamps(_with_zone(rows, spark, sf_dir), "raw", "time_zone", "date_order", dictionary=instants(spark))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
