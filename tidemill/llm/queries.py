@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.contamination import leaked_passages, without_leaks
-from tidemill.llm.nearest_stream import best_candidates, pair_by_nearest_time, replay
+from tidemill.llm.nearest_stream import best_candidates, pair_tables
 from tidemill.llm.tokenizer import token_ids
 from tidemill.llm.toxicity import calibration, fit, rates, read_documents, score_documents
 from tidemill.session import table
@@ -18,20 +18,14 @@ SERIES = ["feed_id", "symbol"]
 NEAR_US = 900_000_000
 
 
-def _stream(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
-    path = f"{sf_dir}/{name}.parquet"
-    schema = spark.read.parquet(path).select(*columns).schema
-    return spark.readStream.schema(schema).parquet(path + "*")  # a pattern may also name a single file
-
-
 def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each decision and exposed pair with the nearest bar within 900 seconds."""
-    ev = _stream(spark, sf_dir, "legal_events", ["event_seq", "feed_id", "decision_at", "pair_exposures"])
+    ev = table(spark, sf_dir, "legal_events").select("event_seq", "feed_id", "decision_at", "pair_exposures")
     pairs = F.map_keys(F.map_filter("pair_exposures", lambda _, v: v.isNotNull() & (v != 0)))
     ev = ev.select("event_seq", "feed_id", "decision_at", F.explode(pairs).alias("symbol"))
-    bars = _stream(spark, sf_dir, "bars", ["bar_id", *SERIES, "timestamp", "close"]).where("close IS NOT NULL")
-    paired = pair_by_nearest_time(ev, bars, SERIES, "decision_at", "event_seq", "timestamp", "bar_id", NEAR_US)
-    return best_candidates(replay(paired), SERIES, "event_seq", "bar_id")
+    bars = table(spark, sf_dir, "bars").where("close IS NOT NULL").select("bar_id", *SERIES, "timestamp")
+    paired = pair_tables(ev, bars, SERIES, "decision_at", "event_seq", "timestamp", "bar_id", NEAR_US)
+    return best_candidates(paired, SERIES, "event_seq", "bar_id")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
