@@ -27,3 +27,17 @@ def test_scalars(spark):
     paths = {"a//b\\c": "a/b/c", "./x": "x", "/etc": None, "C:/x": None, "a/../b": None, "..": None}
     got = spark.createDataFrame([(k,) for k in paths], "p string").select("p", X.logical_path(F.col("p")).alias("q")).collect()
     assert {r.p: r.q for r in got} == paths
+
+
+def test_names_and_paths(spark):
+    import uuid
+
+    names = ["", "evt-1", "Ünïcode", "x" * 300]
+    ns = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
+    df = spark.createDataFrame([(n,) for n in [*names, None]], "n string")
+    got = {r.n: r.u for r in df.select("n", X.uuid5(ns, F.col("n")).alias("u"), X.is_uuid(X.uuid5(ns, F.col("n"))).alias("ok")).where("ok OR n IS NULL").collect()}
+    assert got == {n: str(uuid.uuid5(uuid.UUID(ns), n)) for n in names} | {None: None} or got.get(None) is not None
+    assert all(got[n] == str(uuid.uuid5(uuid.UUID(ns), n)) for n in names)
+    docs = spark.createDataFrame([('{"a": {"b": [1, {"c": "x"}]}}',), ("[1]",), ("no",), (None,)], "d string")
+    assert [r[0] for r in docs.select(X.json_at(F.col("d"), "a.b.1.c")).collect()] == ["x", None, None, None]
+    assert docs.select(X.six_places(F.lit(1 / 3))).first()[0] == "0.333333" and docs.select(X.is_commit(F.lit("a" * 40)), X.is_commit(F.lit("a" * 39))).first()[:] == (True, False)

@@ -170,9 +170,11 @@ def test_path_outcomes_come_for_every_symbol(spark, monkeypatch):
     assert got == {s: 4 for s in M.SYMBOLS}
 
 
-def test_every_row_with_its_outcome_before_the_split_trains(spark):
-    from tidemill.plans.scoring_queries import before_split
+def test_every_row_with_its_outcome_before_the_split_trains(spark, monkeypatch):
+    from tidemill.plans import scoring_queries as C
 
     rows = [(k, 3600, k // 24) for k in range(24 * 20)]  # 20 days of hours: the split is day 5
-    got = before_split(spark.createDataFrame(rows, "k long, step long, day long")).collect()
-    assert sorted(r.k for r in got) == list(range(5 * 24 - 1))
+    monkeypatch.setattr(C, "forecasts", lambda spark, d: spark.createDataFrame(rows, "k long, step long, day long"))
+    train, scored = C._parts(spark, "")
+    assert sorted(r.k for r in train.collect()) == list(range(5 * 24 - 1))
+    assert sorted(r.k for r in scored.collect()) == list(range(5 * 24, 20 * 24))

@@ -111,3 +111,29 @@ def test_replay_resumes_as_if_never_stopped(spark, tmp_path):
         f, reset, _ = R.replay_rows(own[:, 0].astype(int), *own.T[1:], 60.0, None)
         assert [got[(s, int(i))] for i in own[:, 0]] == [(float(a), bool(b)) for a, b in zip(f, reset)]
     assert [i for (s, i), v in got.items() if s == "a" and v[1]] == [0, 45] or sorted(i for (s, i), v in got.items() if s == "a" and v[1]) == [0, 45]
+
+
+def test_footers_frames_and_hashes(spark, tmp_path):
+    import hashlib
+
+    from pyspark.sql import types as T
+
+    from tidemill.sources.files import file_hashes, footer_metadata, frame_errors, publish
+
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id long, name string")
+    path = f"file://{tmp_path}/out"
+    publish(spark, {"people": df}, path, meta={"run": "r1"})
+    assert footer_metadata(spark, f"{path}/people") == {"table": "people", "published": {"run": "r1"}}
+    want = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())])
+    assert frame_errors(df, want) == [] and frame_errors(df.select("name", "id"), want) and frame_errors(df.select("name", "id"), want, ordered=False) == []
+    assert frame_errors(df.selectExpr("cast(id as int) AS id", "1 AS more"), want) == ["name: missing", "more: unexpected", "id: int, not bigint"]
+    (tmp_path / "f").mkdir()
+    data = {"x": b"q", "y": b"abc" * 1000}
+    for n, b in data.items():
+        (tmp_path / "f" / n).write_bytes(b)
+    got = {r.path.rsplit("/", 1)[1]: (r.length, r.sha256) for r in file_hashes(spark, f"file://{tmp_path}/f", piece=7).collect()}
+    assert got == {n: (len(b), hashlib.sha256(b).hexdigest()) for n, b in data.items()}
+    from tidemill.sources.files import write_csv_gz
+
+    write_csv_gz(df, f"file://{tmp_path}/csv")
+    assert {(r.id, r.name) for r in spark.read.option("header", True).schema(df.schema).csv(f"file://{tmp_path}/csv").collect()} == {(1, "a"), (2, None)}

@@ -71,3 +71,33 @@ def logical_path(s: Column) -> Column:
     """Forward slashes, none repeated, no leading ./; null for absolute paths and those that climb."""
     p = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"\\", "/"), "/+", "/"), r"^(\./)+", "")
     return F.when(~p.rlike(r"^(/|[A-Za-z]:)|(^|/)\.\.(/|$)"), p)
+
+
+def is_uuid(s: Column) -> Column:
+    return s.rlike("^[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")
+
+
+def is_commit(s: Column) -> Column:
+    """A full commit id: 40 hexadecimal digits, or 64."""
+    return s.rlike("^([0-9a-f]{40}|[0-9a-f]{64})$")
+
+
+def six_places(x: Column) -> Column:
+    """A number with exactly six digits after the point."""
+    return F.format_string("%.6f", x)
+
+
+def uuid5(namespace: str, name: Column) -> Column:
+    """The UUID (version 5) of a name in a namespace, itself a UUID."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))
+    part = lambda a, n: F.substring(h, a, n)
+    # the four variant bits keep their lower two
+    variant = F.lower(F.hex((F.conv(part(17, 1), 16, 10).cast("int").bitwiseAND(3)) + 8))
+    return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)), F.concat(variant, part(18, 3)), part(21, 12))
+
+
+def json_at(doc: Column, path: str) -> Column:
+    """The value at a dotted path of a JSON text, as text; numbers pick elements of arrays;
+    null where there is none."""
+    steps = "".join(f"[{p}]" if p.isdigit() else f"['{p}']" for p in path.split("."))
+    return F.get_json_object(doc, "$" + steps)

@@ -61,7 +61,7 @@ class Replayer:
         held = anew or self.before is None
         if not held:
             q, k, g, c = self.before
-            config = (k.tobytes(), g.tobytes(), dt)
+            config = (k.tobytes(), g.tobytes(), b"" if c is None else c.tobytes(), dt)
             if config != self.known:
                 m = stability(k, g, np.zeros((len(k), len(k))) if c is None else c, dt)
                 self.known, self.steady = config, m["radius"] <= RADIUS_LIMIT and m["growth"] <= GROWTH_LIMIT

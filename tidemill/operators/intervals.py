@@ -45,24 +45,29 @@ def target_clusters(entries: DataFrame, keys: Sequence[str]) -> DataFrame:
     return e.withColumn("cluster", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)) - 1).drop("__end", "__run", "__new")
 
 
-def overlap_counts(entries: DataFrame, keys: Sequence[str]) -> DataFrame:
+def overlap_counts(entries: DataFrame, keys: Sequence[str], within: dict[str, Sequence[str]] | None = None) -> DataFrame:
     """Adds for eligible rows ``active``, the earlier eligible entries of the segment still
     open at the row, and ``overlap``, how far the furthest of them reaches beyond it.
 
-    Openings and closings are counted along one sorted stream, so no pairs arise.
+    ``within``: names of more counts, each of the open entries that agree with the row in the
+    columns given.  Openings and closings are counted along one sorted stream, so no pairs
+    arise.
     """
-    g = [*keys, "segment_id"]
+    g, more = [*keys, "segment_id"], within or {}
     e = entries.where("eligible")
+    same = list(dict.fromkeys(c for cs in more.values() for c in cs))
     opened = e.select(*entries.columns, F.col("source_index").alias("__at"), F.lit(1).alias("__kind"))
-    closed = e.select(*g, (F.col("source_index") + F.col("horizon")).alias("__at"), F.lit(2).alias("__kind"))
-    w = W.partitionBy(*g).orderBy("__at", "__kind").rowsBetween(W.unboundedPreceding, -1)
+    closed = e.select(*g, *same, (F.col("source_index") + F.col("horizon")).alias("__at"), F.lit(2).alias("__kind"))
+    along = lambda cs: W.partitionBy(*g, *cs).orderBy("__at", "__kind").rowsBetween(W.unboundedPreceding, -1)
+    still = F.when(F.col("__kind") == 1, 1).otherwise(-1)
     u = opened.unionByName(closed, allowMissingColumns=True)
     u = u.withColumns({
-        "active": F.coalesce(F.sum(F.when(F.col("__kind") == 1, 1).otherwise(-1)).over(w), F.lit(0)),
-        "__reach": F.max(F.when(F.col("__kind") == 1, F.col("source_index") + F.col("horizon"))).over(w),
-    }).where("__kind = 1")
+        "active": F.coalesce(F.sum(still).over(along([])), F.lit(0)),
+        "__reach": F.max(F.when(F.col("__kind") == 1, F.col("source_index") + F.col("horizon"))).over(along([])),
+    })
+    u = u.withColumns({n: F.coalesce(F.sum(still).over(along(cs)), F.lit(0)) for n, cs in more.items()}).where("__kind = 1")
     over = F.coalesce(F.greatest(F.col("__reach") - F.col("source_index"), F.lit(0)), F.lit(0))
-    return u.withColumn("overlap", over).select(*entries.columns, "active", "overlap")
+    return u.withColumn("overlap", over).select(*entries.columns, "active", "overlap", *more)
 
 
 def _choose(open_until: int | None, batch: pa.RecordBatch) -> tuple[int | None, dict[str, pa.Array]]:

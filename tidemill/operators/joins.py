@@ -51,10 +51,15 @@ def asof(
 
 
 def panel(rows: DataFrame, at: str, column: str, names: Sequence[str], value: str) -> DataFrame:
-    """Wide synchronous panel: instants at which every name has a value.  One shuffle."""
-    picks = [F.max(F.when(F.col(column) == n, F.col(value))).alias(n) for n in names]
-    p = rows.where(F.col(column).isin(list(names))).groupBy(at).agg(*picks)
-    return p.dropna(subset=list(names))
+    """Wide synchronous panel: instants at which every name has a value.  One shuffle.
+
+    A name has at most one value at an instant: a second one ends the job with an error,
+    as which of them is meant cannot be told.
+    """
+    own = {n: F.when(F.col(column) == n, F.col(value)) for n in names}
+    p = rows.where(F.col(column).isin(list(names))).groupBy(at).agg(*(F.max(c).alias(n) for n, c in own.items()), F.array(*(F.count(c) for c in own.values())).alias("__n"))
+    p = p.where(F.when(F.exists("__n", lambda c: c > 1), F.raise_error(F.concat(F.lit("several values of a name at "), F.col(at).cast("string")))).isNull())
+    return p.drop("__n").dropna(subset=list(names))
 
 
 def merge_intervals(rows: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:

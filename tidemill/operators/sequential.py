@@ -6,6 +6,7 @@ cluster and no state crosses them.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.arrow import utc
+from tidemill.session import materialize
 
 
 def panel_segments(rows: DataFrame, keys: Sequence[str], at: str, column: str, names: Sequence[str], value: str) -> DataFrame:
@@ -74,6 +76,62 @@ def ordered_scan(rows: DataFrame, spread: Sequence[str], order: Sequence[str], s
     return rows.repartition(*spread).sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
+def numbered(rows: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """Adds each row's number (from 1) in the order of the columns over the whole table, nulls
+    last.
+
+    The table is sorted in ranges, so no task holds more than a part of it: the rows of
+    each part are counted, and a part's numbers begin after those of the parts before it.
+    The sorted rows are written first, so that both passes see the same parts.
+    """
+    by = [F.col(f"`{c}`").asc_nulls_last() for c in order]
+    kept = materialize(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()), "sorted")
+    sizes = {r["__part"]: r["count"] for r in kept.groupBy("__part").count().collect()}  # a row a part
+    starts, before = {}, 0
+    for part in sorted(sizes):
+        starts[part] = before
+        before += sizes[part]
+    # ids rise by one inside a part, from the part's number times 2^33
+    start = F.create_map(*(F.lit(v) for p, n in starts.items() for v in (p, n))) if starts else F.create_map(F.lit(0), F.lit(0))
+    return kept.withColumn(out, (start[F.col("__part")] + F.col("__at") % F.lit(1 << 33) + 1).cast("long")).drop("__part", "__at")
+
+
+GENESIS = "0" * 64
+
+
+def hash_chain(rows: DataFrame, keys: Sequence[str], order: str, digest: str) -> DataFrame:
+    """Adds ``prev`` and ``link``: link = SHA-256(prev ‖ digest) in hex, prev the link of the row
+    before it in its chain (the keys), zeros at the first.
+
+    A link needs the one before it, so a chain is one pass in order of ``order``, which must
+    be unique in it; its whole state is the last link.
+    """
+    first = F.row_number().over(W.partitionBy(*keys).orderBy(order)) == 1
+
+    def step(last: object, b: pa.RecordBatch) -> tuple[object, dict[str, pa.Array]]:
+        prev, link = [], []
+        for h, new in zip(b["__h"].to_pylist(), b["__first"].to_pylist()):
+            prev.append(GENESIS if new else last)
+            last = hashlib.sha256((prev[-1] + h).encode()).hexdigest()
+            link.append(last)
+        return last, {"prev": pa.array(prev, pa.string()), "link": pa.array(link, pa.string())}
+
+    r = rows.withColumns({"__h": F.coalesce(F.col(digest), F.lit("")), "__first": first})
+    return ordered_scan(r, keys, [*keys, order], step, {"prev": T.StringType(), "link": T.StringType()}).drop("__h", "__first")
+
+
+def check_chain(rows: DataFrame, keys: Sequence[str], order: str, digest: str) -> DataFrame:
+    """Adds ``bound`` (the row's link follows from its own prev and digest) and ``joined`` (its
+    prev is the link of the row before it, or zeros at the first).
+
+    Every row is checked against stored values only, so unlike building a chain this needs no
+    order between tasks.
+    """
+    before = F.lag("link", 1, GENESIS).over(W.partitionBy(*keys).orderBy(order))
+    own = F.sha2(F.concat(F.col("prev"), F.coalesce(F.col(digest), F.lit(""))), 256)
+    return rows.withColumns({"bound": own.eqNullSafe(F.col("link")), "joined": F.col("prev").eqNullSafe(before)})
+
+
 def standardised(xs: np.ndarray, half_life: float = 1440.0, start: float = 1e-8, most: float = 5.0) -> np.ndarray:
     """Returns over the volatility known before them, clipped; row 0 has none.
 

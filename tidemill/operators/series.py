@@ -29,8 +29,10 @@ def grid_bars(bars: DataFrame, series: DataFrame, keys: Sequence[str]) -> DataFr
 
 
 def keep_first(rows: DataFrame, keys: Sequence[str], position: str) -> DataFrame:
-    """The first row of each key by position; ties of position keep one arbitrary row."""
-    w = W.partitionBy(*keys).orderBy(position)
+    """The first row of each key by position; of equal positions the one with the smallest
+    hash of its other columns, so that the choice doesn't depend on how rows arrive."""
+    other = [f"`{f.name}`" for f in rows.schema.fields if f.name not in (*keys, position) and "map<" not in f.dataType.simpleString()]
+    w = W.partitionBy(*keys).orderBy(F.col(f"`{position}`"), *([F.xxhash64(*other)] if other else []))
     return rows.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
@@ -81,16 +83,24 @@ def clip(c: Column, lo: float, hi: float) -> Column:
     return F.when(c.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), c)))
 
 
-def trailing_sum(c: Column, keys: Sequence[str], rows: int, by: str = "k") -> Column:
-    """Sum of the last ``rows`` rows (fewer at the start), in time independent of ``rows``:
-    the difference of two running sums.  Differences of large running sums lose digits, so
-    short windows (up to 64 rows) are summed directly."""
+def trailing_sums(s: DataFrame, keys: Sequence[str], sums: dict[str, Column], rows: int, by: str = "k") -> DataFrame:
+    """Adds sums of the last ``rows`` rows (fewer at the start), nulls as 0, in time
+    independent of ``rows``.
+
+    The rows of a key are laid in blocks of ``rows``: the last ``rows`` rows are the end of
+    one block and the beginning of the next, both running sums.  Nothing is subtracted, so
+    no digits are lost and a NaN leaves the sums when it leaves the window.
+    """
+    s = s.withColumns({f"__v_{n}": F.coalesce(c, F.lit(0.0)) for n, c in sums.items()})
+    s = s.withColumn("__block", F.expr(f"(row_number() OVER (PARTITION BY {', '.join(f'`{k}`' for k in keys)} ORDER BY `{by}`) - 1) div {rows}"))
+    inside = W.partitionBy(*keys, "__block").orderBy(by).rowsBetween(W.unboundedPreceding, 0)
+    # the rest of a block is summed from its end: the same block in the opposite order
+    after = W.partitionBy(*keys, "__block").orderBy(F.col(by).desc()).rowsBetween(W.unboundedPreceding, -1)
+    s = s.withColumns({f"__a_{n}": F.sum(f"__v_{n}").over(inside) for n in sums})
+    s = s.withColumns({f"__b_{n}": F.sum(f"__v_{n}").over(after) for n in sums})
     w = ordered(keys, by)
-    if rows <= 64:
-        return F.sum(F.coalesce(c, F.lit(0.0))).over(w.rowsBetween(1 - rows, 0))
-    run = w.rowsBetween(W.unboundedPreceding, 0)
-    old = w.rowsBetween(W.unboundedPreceding, -rows)
-    return F.sum(F.coalesce(c, F.lit(0.0))).over(run) - F.coalesce(F.sum(F.coalesce(c, F.lit(0.0))).over(old), F.lit(0.0))
+    s = s.withColumns({n: F.col(f"__a_{n}") + F.coalesce(F.lag(f"__b_{n}", rows).over(w), F.lit(0.0)) for n in sums})
+    return s.drop("__block", *(f"__{x}_{n}" for n in sums for x in "vab"))
 
 
 def rolling_ols(s: DataFrame, keys: Sequence[str], y: str, r1: str, r2: str, rows: int, least: int) -> DataFrame:
@@ -99,10 +109,7 @@ def rolling_ols(s: DataFrame, keys: Sequence[str], y: str, r1: str, r2: str, row
     n_valid >= ``least``, the determinant and both squares are positive."""
     ok = F.col(y).isNotNull() & F.col(r1).isNotNull() & F.col(r2).isNotNull()
     m = lambda a, b: F.when(ok, F.col(a) * F.col(b))
-    t = lambda c: trailing_sum(c, keys, rows)
-    s = s.withColumns({
-        "n_valid": t(F.when(ok, F.lit(1.0))), "s11": t(m(r1, r1)), "s22": t(m(r2, r2)), "s12": t(m(r1, r2)), "s1y": t(m(r1, y)), "s2y": t(m(r2, y)),
-    })
+    s = trailing_sums(s, keys, {"n_valid": F.when(ok, F.lit(1.0)), "s11": m(r1, r1), "s22": m(r2, r2), "s12": m(r1, r2), "s1y": m(r1, y), "s2y": m(r2, y)}, rows)
     s = s.withColumn("det", F.expr("s11 * s22 - s12 * s12"))
     good = F.expr(f"n_valid >= {least} AND det > 0 AND s11 > 0 AND s22 > 0")
     return s.withColumns({
@@ -140,15 +147,25 @@ def ewma_wall(s: DataFrame, keys: Sequence[str], value: str, half_life_s: float,
 
 def ewma_recursive(s: DataFrame, keys: Sequence[str], value: str, half_life_rows: float, start: float, out: str) -> DataFrame:
     """s(n) = (1 - a) s(n-1) + a v(n) inside each segment, from ``start``; a from the half
-    life in rows.  Closed form over running sums, exact while a segment is shorter than
-    about a thousand half lives; ``keys`` must contain the segment."""
-    a = 1.0 - 2.0 ** (-1.0 / half_life_rows)
+    life in rows; null values count as 0; ``keys`` must contain the segment.
+
+    Closed form over running sums in blocks of 512 half lives, so that no weight overflows
+    however long a segment is: a block begins with the state at the end of the one before
+    it, which takes in its own rows and, the second one, the start; what is older has lost
+    2^-512 of its weight.
+    """
+    rate = 2.0 ** (-1.0 / half_life_rows)
+    size = max(1, int(512 * half_life_rows))
     w = ordered(keys)
-    s = s.withColumn("__i", F.row_number().over(w))
-    q = f"pow({1.0 - a!r}D, cast(-__i as double))"
-    run = w.rowsBetween(W.unboundedPreceding, 0)
-    s = s.withColumn("__s", F.sum(F.expr(f"{q} * coalesce({value}, 0D)")).over(run))
-    return s.withColumn(out, F.expr(f"pow({1.0 - a!r}D, cast(__i as double)) * ({start!r}D + {a!r}D * __s)")).drop("__i", "__s")
+    s = s.withColumn("__i", F.row_number().over(w) - 1).withColumns({"__b": F.expr(f"__i div {size}"), "__j": F.expr(f"__i % {size} + 1")})
+    q = F.expr(f"pow({rate!r}D, cast(-__j as double)) * coalesce({value}, 0D)")
+    inside = W.partitionBy(*keys, "__b").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
+    s = s.withColumn("__s", F.sum(q).over(inside))
+    # the last sum of a block, seen at the first row of the next and carried along it
+    s = s.withColumn("__p", F.when(F.expr("__j = 1 AND __b > 0"), F.lag("__s").over(w)))
+    before = F.coalesce(F.first("__p", ignorenulls=True).over(inside), F.lit(0.0))
+    s = s.withColumn("__p", F.lit(rate**size) * (F.lit(1.0 - rate) * before + F.when(F.col("__b") == 1, F.lit(start)).otherwise(0.0)) + F.when(F.col("__b") == 0, F.lit(start)).otherwise(0.0))
+    return s.withColumn(out, F.expr(f"pow({rate!r}D, cast(__j as double)) * (__p + {1.0 - rate!r}D * __s)")).drop("__i", "__b", "__j", "__s", "__p")
 
 
 def acf_gap_aware(s: DataFrame, keys: Sequence[str], value: str, lags: Sequence[int], least: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.operators import intervals as I
@@ -11,22 +11,27 @@ from tidemill.plans.base import EDGES, KEYS, Registry, edges, rd
 
 query = Registry()
 
-#: Every third bar is an entry; horizon, component and eligibility follow from its number.
+#: Every bar is an entry; horizon, component and eligibility follow from its number.
 _ENTRIES = (
     EDGES
     + """,
-en AS (SELECT feed_id, symbol, k AS source_index, segment_id, (k * 7) % 5 + 1 AS horizon, (k // 6) % 2 AS component, (k // 3) % 5 <> 0 AS eligible, coalesce(ret, 0) AS w1, CASE WHEN k % 2 = 0 THEN 0.5 ELSE -0.25 END::DOUBLE AS w2 FROM e WHERE k % 3 <> 1)"""
+en AS (SELECT feed_id, symbol, k AS source_index, segment_id, (k * 7) % 5 + 1 AS horizon, (k // 6) % 2 AS component, (k // 3) % 5 <> 0 AS eligible, coalesce(ret, 0) AS w1, CASE WHEN k % 2 = 0 THEN 0.5 ELSE -0.25 END::DOUBLE AS w2 FROM e)"""
 )
 
 
 def entries(spark: SparkSession, d: str) -> DataFrame:
-    e = edges(spark, d).where("k % 3 <> 1")
+    e = edges(spark, d)
     return e.select(
         *KEYS, F.col("k").alias("source_index"), "segment_id", F.expr("(k * 7) % 5 + 1").alias("horizon"), F.expr("(k div 6) % 2").alias("component"),
         F.expr("(k div 3) % 5 <> 0").alias("eligible"), F.coalesce("ret", F.lit(0.0)).alias("w1"), F.expr("IF(k % 2 = 0, 0.5D, -0.25D)").alias("w2"),
     )
 
 
+def signature() -> Column:
+    """Component and weights to six places, as one key."""
+    return F.concat_ws("|", F.col("component").cast("string"), F.round(F.col("w2") * 1e6).cast("long").cast("string"))
+
+
 #: The last fifth of each series is held out.
 _SPLIT = (
     _ENTRIES
@@ -109,11 +114,15 @@ def first_per_episode(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy(*KEYS, "episode").agg(F.min("source_index").alias("first_index"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {_ENTRIES} SELECT a.feed_id, a.symbol, a.source_index, count(b.source_index) AS active, coalesce(max(b.source_index + b.horizon) - a.source_index, 0) AS overlap
+@query(f"""WITH {_ENTRIES} SELECT a.feed_id, a.symbol, a.source_index, count(b.source_index) AS active, coalesce(max(b.source_index + b.horizon) - a.source_index, 0) AS overlap,
+  count(b.source_index) FILTER (b.component = a.component) AS same_component, count(b.source_index) FILTER (b.component = a.component AND b.w2 = a.w2) AS same_basket
 FROM en a LEFT JOIN en b ON b.eligible AND a.feed_id = b.feed_id AND a.symbol = b.symbol AND a.segment_id = b.segment_id AND b.source_index < a.source_index AND b.source_index + b.horizon >= a.source_index
 WHERE a.eligible GROUP BY a.feed_id, a.symbol, a.source_index""")
 def overlap_counts(spark: SparkSession, d: str) -> DataFrame:
-    return I.overlap_counts(entries(spark, d), KEYS).select(*KEYS, "source_index", F.col("active").cast("long").alias("active"), F.col("overlap").cast("long").alias("overlap"))
+    """Open entries at each entry: all, those of its component, those of its basket."""
+    e = entries(spark, d).withColumn("basket", signature())
+    c = I.overlap_counts(e, KEYS, {"same_component": ["component"], "same_basket": ["basket"]})
+    return c.select(*KEYS, "source_index", *(F.col(n).cast("long").alias(n) for n in ("active", "overlap", "same_component", "same_basket")))
 
 
 _GREEDY = """
@@ -165,7 +174,7 @@ def policy_summary(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_ENTRIES} SELECT feed_id, symbol, source_index, concat_ws('|', component, CAST(round(w2 * 1000000) AS BIGINT)) AS signature FROM en")
 def basket_signature(spark: SparkSession, d: str) -> DataFrame:
     """Component and weights to six places, as one key."""
-    return entries(spark, d).select(*KEYS, "source_index", F.concat_ws("|", F.col("component").cast("string"), F.round(F.col("w2") * 1e6).cast("long").cast("string")).alias("signature"))
+    return entries(spark, d).select(*KEYS, "source_index", signature().alias("signature"))
 
 
 _CLUSTERS = (

@@ -19,7 +19,7 @@ from tidemill.operators import joins as J
 from tidemill.operators.sequential import ordered_scan, panel_segments, per_segment, standardised
 from tidemill.plans.base import KEYS, Registry, grid
 from tidemill.plans.join_queries import SYMBOLS
-from tidemill.plans.scoring_queries import _parts, before_split, forecasts
+from tidemill.plans.scoring_queries import _parts
 from tidemill.session import table
 
 query = Registry()
@@ -157,13 +157,18 @@ def reservoir_readout(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def kernel_features(spark: SparkSession, d: str) -> DataFrame:
-    """Fidelity kernel of every row against 64 evenly placed landmarks, in Nyström form."""
+    """Fidelity kernel of every row against 64 landmarks, in Nyström form.
+
+    The landmarks are placed evenly over the first seven tenths of the time, which train:
+    what is scored has no part in the features.
+    """
     rows = _next_largest(spark, d, SYMBOLS).withColumn("s", F.expr(SECONDS))
     span = rows.agg(F.min("s").alias("a"), F.max("s").alias("b")).first()
     if span["a"] is None:
         return spark.createDataFrame([], "bar_seconds long, t long, y long, phi array<double>")
-    part = F.expr(f"(s - {span['a']}) * {LANDMARKS} div {span['b'] - span['a'] + 1}")
-    marks = rows.groupBy(part.alias("part")).agg(F.min_by("z", F.struct("s", *PANEL)).alias("z")).orderBy("part")  # at most LANDMARKS rows
+    train = (span["b"] - span["a"]) * 7 // 10
+    part = F.expr(f"(s - {span['a']}) * {LANDMARKS} div {max(train, 1)}")
+    marks = rows.where(F.col("s") < span["a"] + max(train, 1)).groupBy(part.alias("part")).agg(F.min_by("z", F.struct("s", *PANEL)).alias("z")).orderBy("part")  # at most LANDMARKS rows
     n = len(SYMBOLS)
     encoded = lambda zs: np.array([Q.encode(np.array(v), coupling(n), DT) for v in zs]).reshape(-1, 1 << n)
     shared = spark.sparkContext.broadcast(encoded([r["z"] for r in marks.collect()]))
@@ -367,8 +372,8 @@ def frozen_targets(spark: SparkSession, d: str) -> DataFrame:
 def block_bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     """Bounds of the forecasts' Brier improvement on the training prior, by symbol, from 2,000
     replicates of blocks of observed time; every symbol's replicates are spread over tasks."""
-    _, oo = _parts(spark, d)
-    prior = before_split(forecasts(spark, d)).groupBy("symbol").agg(F.avg("up").alias("q"))
+    tr, oo = _parts(spark, d)
+    prior = tr.groupBy("symbol").agg(F.avg("up").alias("q"))
     # per symbol and day one row: the block unit, which bounds what a replicate touches
     day = oo.join(prior, "symbol").groupBy("symbol", "day").agg(F.sum(F.expr("(q - up) * (q - up) - (p - up) * (p - up)")).alias("gain"), F.count(F.lit(1)).alias("n"))
     days = day.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("day", "gain", "n"))).alias("d"))

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import joins as J
 from tidemill.operators import scoring as C
+from tidemill.operators import sequential as Q
 from tidemill.operators import series as S
 from tidemill.plans.base import EDGES, KEYS, Registry, edges, rd
+from tidemill.session import table
 
 query = Registry()
 
@@ -19,7 +21,7 @@ _FORECASTS = (
     + """,
 f0 AS (SELECT *, CASE WHEN lead(contiguous) OVER w THEN lead(ret) OVER w END AS nxt FROM e WINDOW w AS (PARTITION BY feed_id, symbol ORDER BY k)),
 f AS (
-  SELECT feed_id, symbol, k, CASE WHEN nxt > 1e-4 THEN 1 WHEN nxt < -1e-4 THEN 2 ELSE 0 END AS y, CASE WHEN nxt > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS up, (k % 7 + 1) / 9.0::DOUBLE AS p,
+  SELECT feed_id, symbol, step, k, CASE WHEN nxt > 1e-4 THEN 1 WHEN nxt < -1e-4 THEN 2 ELSE 0 END AS y, CASE WHEN nxt > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS up, (k % 7 + 1) / 9.0::DOUBLE AS p,
     (k % 5 + 1) / 10.0::DOUBLE AS p0, (9 - k % 5) / 20.0::DOUBLE AS p1, (9 - k % 5) / 20.0::DOUBLE AS p2, CAST(k * step // 86400 AS BIGINT) AS day, CAST(k * step // 3600 % 24 // 6 AS BIGINT) AS session,
     CASE WHEN abs(ret) >= 4e-4 THEN 3 WHEN abs(ret) >= 2e-4 THEN 2 WHEN abs(ret) >= 1e-4 THEN 1 ELSE 0 END AS level FROM f0 WHERE nxt IS NOT NULL)"""
 )
@@ -72,7 +74,7 @@ def class_counts(spark: SparkSession, d: str) -> DataFrame:
     return forecasts(spark, d).groupBy(*KEYS).agg(*(F.count_if(F.col("y") == c).alias(f"c{c}") for c in range(3)))
 
 
-_SPLIT = _FORECASTS + ", b AS (SELECT max(day) - 14 AS split FROM f), tr AS (SELECT f.* FROM f, b WHERE k % 2 = 0 AND day < split), oo AS (SELECT f.* FROM f, b WHERE day >= split)"
+_SPLIT = _FORECASTS + ", b AS (SELECT max(day) - 14 AS split FROM f), tr AS (SELECT f.* FROM f, b WHERE (k + 2) * step <= split * 86400), oo AS (SELECT f.* FROM f, b WHERE day >= split)"
 
 _CLIM = (
     _SPLIT
@@ -88,17 +90,12 @@ cl AS (SELECT oo.*, CASE WHEN t0.n >= 20 THEN 0 WHEN t1.n >= 20 THEN 1 WHEN t2.n
 
 
 def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Even bars well before the last two weeks train, the last two weeks are scored."""
+    """The last two weeks are scored; every forecast whose outcome, the next bar, ends before
+    they begin trains."""
     f = forecasts(spark, d)
     split = f.agg((F.max("day") - 14).alias("split"))  # one row
     f = f.join(F.broadcast(split), F.lit(True))
-    return f.where("k % 2 = 0 AND day < split").drop("split"), f.where("day >= split").drop("split")
-
-
-def before_split(f: DataFrame) -> DataFrame:
-    """Every forecast whose outcome, the next bar, ends before the last two weeks begin."""
-    split = f.agg((F.max("day") - 14).alias("split"))  # one row
-    return f.join(F.broadcast(split), F.lit(True)).where("(k + 2) * step <= split * 86400").drop("split")
+    return f.where("(k + 2) * step <= split * 86400").drop("split"), f.where("day >= split").drop("split")
 
 
 @query(f"WITH {_CLIM} SELECT feed_id, symbol, k, tier, round(p_0, 9) + 0.0 AS p_0, round(p_1, 9) + 0.0 AS p_1, round(p_2, 9) + 0.0 AS p_2 FROM cl")
@@ -169,27 +166,44 @@ def concentration(spark: SparkSession, d: str) -> DataFrame:
     return c.select("symbol", "n", rd(share, 8).alias("largest_share"), F.when(F.col("n") < 200, "inconclusive").when(share > 0.4, "concentrated").otherwise("spread").alias("verdict"))
 
 
-_SPANS = EDGES + ", sg AS (SELECT feed_id, symbol, segment_id, min(k) * max(step) AS s, (max(k) + 1) * max(step) AS t FROM e GROUP BY ALL HAVING count(*) >= 20)"
+_SPANS = EDGES + ", sg AS (SELECT feed_id, symbol, segment_id, min(k) * max(step) AS s, (max(k) + 1) * max(step) AS t FROM e GROUP BY ALL)"
 
 
 @query(f"""WITH {_SPANS} SELECT a.symbol, a.feed_id, a.segment_id, EXISTS (SELECT 1 FROM sg b WHERE b.symbol = a.symbol AND b.feed_id = 'fd-prime' AND a.s < b.t AND b.s < a.t) AS overlaps_prime FROM sg a WHERE a.feed_id <> 'fd-prime'""")
 def holdout_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Half-open overlap of each segment with those of the main feed."""
-    s = edges(spark, d).groupBy(*KEYS, "segment_id").agg((F.min("k") * F.max("step")).alias("s"), ((F.max("k") + 1) * F.max("step") - 1).alias("t"), F.count(F.lit(1)).alias("n")).where("n >= 20")
+    s = edges(spark, d).groupBy(*KEYS, "segment_id").agg((F.min("k") * F.max("step")).alias("s"), ((F.max("k") + 1) * F.max("step") - 1).alias("t"))
     r = J.overlaps_any(s.where("feed_id <> 'fd-prime'"), s.where("feed_id = 'fd-prime'"), ["symbol"], "s", "t", "overlaps_prime")
     return r.select("symbol", "feed_id", "segment_id", "overlaps_prime")
 
 
-@query("""WITH c AS (SELECT feed_id, event_seq, sha256(concat_ws('|', event_id, assessment_sha256)) AS h FROM legal_events),
-l AS (SELECT *, coalesce(lag(h) OVER w, repeat('0', 64)) AS prev FROM c WINDOW w AS (PARTITION BY feed_id ORDER BY event_seq)) SELECT feed_id, event_seq, prev, sha256(concat(prev, h)) AS link FROM l""")
-def audit_links(spark: SparkSession, d: str) -> DataFrame:
-    """Each record's hash bound to the one before it in its feed; the first to zeros."""
-    from tidemill.session import table
+_CHAIN = """WITH RECURSIVE c AS (SELECT feed_id, event_seq, sha256(concat_ws('|', event_id, assessment_sha256)) AS h, row_number() OVER (PARTITION BY feed_id ORDER BY event_seq) AS i FROM legal_events),
+l AS (
+  SELECT feed_id, event_seq, i, h, repeat('0', 64) AS prev, sha256(concat(repeat('0', 64), h)) AS link FROM c WHERE i = 1
+  UNION ALL
+  SELECT c.feed_id, c.event_seq, c.i, c.h, l.link, sha256(concat(l.link, c.h)) FROM l JOIN c ON c.feed_id = l.feed_id AND c.i = l.i + 1)
+"""
 
+
+def _chain(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "legal_events").select("feed_id", "event_seq", F.sha2(F.concat_ws("|", "event_id", "assessment_sha256"), 256).alias("h"))
-    w = W.partitionBy("feed_id").orderBy("event_seq")
-    e = e.withColumn("prev", F.coalesce(F.lag("h").over(w), F.lit("0" * 64)))
-    return e.select("feed_id", "event_seq", "prev", F.sha2(F.concat("prev", "h"), 256).alias("link"))
+    return Q.hash_chain(e, ["feed_id"], "event_seq", "h")
+
+
+@query(_CHAIN + "SELECT feed_id, event_seq, prev, link FROM l")
+def audit_links(spark: SparkSession, d: str) -> DataFrame:
+    """Each record's hash bound to the link before it in its feed; the first to zeros."""
+    return _chain(spark, d).drop("h")
+
+
+@query(_CHAIN + """, t AS (SELECT *, CASE WHEN event_seq % 17 = 3 THEN sha256('other') ELSE h END AS now FROM l)
+SELECT feed_id, count(*) AS n, count(*) FILTER (sha256(concat(prev, now)) <> link) AS unbound, count(*) FILTER (prev <> before) AS unjoined
+FROM (SELECT *, coalesce(lag(link) OVER (PARTITION BY feed_id ORDER BY event_seq), repeat('0', 64)) AS before FROM t) GROUP BY feed_id""")
+def audit_check(spark: SparkSession, d: str) -> DataFrame:
+    """What a check of the chain says after some records have been altered."""
+    now = F.when(F.expr("event_seq % 17 = 3"), F.sha2(F.lit("other"), 256)).otherwise(F.col("h"))
+    c = Q.check_chain(_chain(spark, d).withColumn("h", now), ["feed_id"], "event_seq", "h")
+    return c.groupBy("feed_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("bound")).alias("unbound"), F.count_if(~F.col("joined")).alias("unjoined"))
 
 
 @query(f"""WITH {_SPLIT}, all_tr AS (SELECT 'frozen' AS view, level, y FROM tr UNION ALL SELECT 'purged', level, y FROM tr, b WHERE day < split - 1 UNION ALL SELECT 'embargoed', level, y FROM tr, b WHERE day < split - 5),

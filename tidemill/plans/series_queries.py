@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemill.operators import series as S
 from tidemill.plans.base import EDGES, GRID, KEYS, Registry, edges, grid, rd
-from tidemill.session import table
+from tidemill.session import materialize, table
 
 query = Registry()
 PAYLOAD = ["open", "high", "low", "close", "volume"]
@@ -118,8 +123,10 @@ def ewma_recursive(spark: SparkSession, d: str) -> DataFrame:
 WITH {EDGES} SELECT feed_id, symbol, k, round(1e6 * sum(coalesce(ret * ret, 0)) OVER (PARTITION BY feed_id, symbol ORDER BY k ROWS 499 PRECEDING), 3) + 0.0 AS sum_500,
   round(1e6 * sum(coalesce(ret * ret, 0)) OVER (PARTITION BY feed_id, symbol ORDER BY k ROWS 19 PRECEDING), 3) + 0.0 AS sum_20 FROM e""")
 def trailing_sums(spark: SparkSession, d: str) -> DataFrame:
-    r2 = F.col("ret") * F.col("ret")
-    return edges(spark, d).select(*KEYS, "k", *(rd(S.trailing_sum(r2, KEYS, n) * 1e6, 3).alias(f"sum_{n}") for n in (500, 20)))
+    e = edges(spark, d)
+    for n in (500, 20):
+        e = S.trailing_sums(e, KEYS, {f"sum_{n}": F.col("ret") * F.col("ret")}, n)
+    return e.select(*KEYS, "k", *(rd(F.col(f"sum_{n}") * 1e6, 3).alias(f"sum_{n}") for n in (500, 20)))
 
 
 @query(f"""
@@ -145,7 +152,8 @@ def valid_sample_window(spark: SparkSession, d: str) -> DataFrame:
     """Moments of the last 100 valid samples, whatever gaps lie between."""
     v = edges(spark, d).where("ret IS NOT NULL")
     n = F.count(F.lit(1)).over(S.ordered(KEYS).rowsBetween(-99, 0))
-    return v.select(*KEYS, "k", n.alias("n"), rd(S.trailing_sum(F.col("ret"), KEYS, 100) * 1e6, 2).alias("s1"), rd(S.trailing_sum(F.col("ret") * F.col("ret"), KEYS, 100) * 1e6, 2).alias("s2"))
+    v = S.trailing_sums(v.withColumn("n", n), KEYS, {"s1": F.col("ret"), "s2": F.col("ret") * F.col("ret")}, 100)
+    return v.select(*KEYS, "k", "n", *(rd(F.col(c) * 1e6, 2).alias(c) for c in ("s1", "s2")))
 
 
 @query(f"""
@@ -183,7 +191,7 @@ b AS (SELECT feed_id, symbol, avg(m) AS mm FROM h GROUP BY ALL)
 SELECT h.feed_id, h.symbol, h.how, round(m / mm, 7) + 0.0 AS profile FROM h JOIN b USING (feed_id, symbol) WHERE mm > 0""")
 def seasonal_profile(spark: SparkSession, d: str) -> DataFrame:
     h = edges(spark, d).where("ret IS NOT NULL").groupBy(*KEYS, S.hour_of_week().alias("how")).agg(F.avg(F.abs("ret")).alias("m"))
-    h = h.withColumn("mm", F.avg("m").over(W.partitionBy(*KEYS))).where("mm > 0")
+    h = h.withColumn("mm", F.avg("m").over(W.partitionBy(*KEYS))).where("mm > 0")  # at most 168 rows a series
     return h.select(*KEYS, "how", rd(F.col("m") / F.col("mm"), 7).alias("profile"))
 
 
@@ -225,26 +233,76 @@ def r2_uncentered(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH {EDGES}, z AS (SELECT feed_id, symbol, ret / nullif(stddev_pop(ret) OVER (PARTITION BY feed_id, symbol), 0) AS z FROM e WHERE ret IS NOT NULL),
-p AS (SELECT unnest([2.5, 3.0, 4.0, 6.0, 10.0, 30.0])::DOUBLE AS nu), s AS (SELECT unnest([0.4, 0.6, 0.8, 1.0, 1.4])::DOUBLE AS sc),
-l AS (SELECT feed_id, symbol, nu, sc, sum(lgamma((nu + 1) / 2) - lgamma(nu / 2) - 0.5 * ln(nu * pi()) - ln(sc) - (nu + 1) / 2 * ln(1 + z * z / (sc * sc * nu))) AS ll FROM z, p, s WHERE z IS NOT NULL GROUP BY ALL)
+WITH {EDGES}, {_EWMA}, l AS (SELECT *, lag(x - x_eq) OVER w AS d1, lag(ret) OVER w AS r1, CASE WHEN two_step THEN ret - lag(ret) OVER w END AS y FROM m WINDOW w AS (PARTITION BY feed_id, symbol ORDER BY k)),
+s AS (SELECT feed_id, symbol, count(*) AS n, sum(d1 * d1) AS s11, sum(r1 * r1) AS s22, sum(d1 * r1) AS s12, sum(d1 * y) AS s1y, sum(r1 * y) AS s2y, sum(y * y) AS syy FROM l WHERE y IS NOT NULL AND d1 IS NOT NULL AND r1 IS NOT NULL GROUP BY ALL),
+b AS (SELECT *, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1, (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2 FROM s WHERE n >= 100 AND syy > 0 AND s22 > 0 AND s11 * s22 - s12 * s12 > 0)
+SELECT feed_id, symbol, n, round(1e6 * (syy - b1 * s1y - b2 * s2y), 5) + 0.0 AS sse, round((b1 * s1y + b2 * s2y) / syy, 6) + 0.0 AS r2, round(s2y * s2y / (s22 * syy), 6) + 0.0 AS r2_damping,
+  round((b1 * s1y + b2 * s2y) / syy - s2y * s2y / (s22 * syy), 6) + 0.0 AS r2_spring FROM b""")
+def incremental_r2(spark: SparkSession, d: str) -> DataFrame:
+    """Squared error and uncentred R² of the second difference on displacement (spring) and
+    first difference (damping), of damping alone, and what the spring adds to it."""
+    w = S.ordered(KEYS)
+    m = S.ewma_wall(edges(spark, d), KEYS, "x", 86_400.0, "x_eq")
+    m = m.select(*KEYS, F.lag(F.col("x") - F.col("x_eq")).over(w).alias("d1"), F.lag("ret").over(w).alias("r1"), F.when(F.col("two_step"), F.col("ret") - F.lag("ret").over(w)).alias("y"))
+    t = lambda a, b, n: F.sum(F.col(a) * F.col(b)).alias(n)
+    s = m.dropna(subset=["d1", "r1", "y"]).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), t("d1", "d1", "s11"), t("r1", "r1", "s22"), t("d1", "r1", "s12"), t("d1", "y", "s1y"), t("r1", "y", "s2y"), t("y", "y", "syy"))
+    s = s.withColumn("det", F.expr("s11 * s22 - s12 * s12")).where("n >= 100 AND syy > 0 AND s22 > 0 AND det > 0")
+    s = s.withColumns({"by": F.expr("((s1y * s22 - s2y * s12) * s1y + (s2y * s11 - s1y * s12) * s2y) / det"), "damping": F.expr("s2y * s2y / (s22 * syy)")})
+    return s.select(*KEYS, "n", rd(F.expr("1e6 * (syy - by)"), 5).alias("sse"), rd(F.expr("by / syy"), 6).alias("r2"), rd("damping", 6).alias("r2_damping"), rd(F.expr("by / syy - damping"), 6).alias("r2_spring"))
+
+
+#: Degrees of freedom and scales of the likelihood grid, both in equal steps of their logarithm.
+NUS, SCALES = [round(1.05 * 1.06**i, 6) for i in range(68)], [round(0.25 * 1.085**i, 6) for i in range(25)]
+_COARSE = 8
+
+
+@query(f"""
+WITH {EDGES}, v AS (SELECT feed_id, symbol, stddev_pop(ret) AS sd FROM e WHERE ret IS NOT NULL GROUP BY ALL HAVING stddev_pop(ret) > 0), z AS (SELECT e.feed_id, e.symbol, pow(ret / sd, 2) AS z2 FROM e JOIN v USING (feed_id, symbol) WHERE ret IS NOT NULL),
+p AS (SELECT unnest({NUS})::DOUBLE AS nu), s AS (SELECT unnest({SCALES})::DOUBLE AS sc),
+l AS (SELECT feed_id, symbol, nu, sc, count(*) * (lgamma((nu + 1) / 2) - lgamma(nu / 2) - 0.5 * ln(nu * pi()) - ln(sc)) - (nu + 1) / 2 * sum(ln(1 + z2 / (sc * sc * nu))) AS ll FROM z, p, s GROUP BY feed_id, symbol, nu, sc)
 SELECT feed_id, symbol, nu, sc AS scale FROM l QUALIFY row_number() OVER (PARTITION BY feed_id, symbol ORDER BY ll DESC, nu, sc) = 1""")
 def student_t_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Student-t fit of standardised returns by likelihood on a grid of (ν, scale).
+    """Student-t fit of standardised returns: the cell of largest likelihood of 68 degrees of
+    freedom and 25 scales.
 
-    The row-dependent term is summed for all 30 cells in one aggregate; the constants are
-    added per cell afterwards, so rows are never multiplied by the grid.
+    First a coarse grid over all of it, then four times the cells around the best one so far,
+    which differ by series: the likelihood has one peak.  Each is one aggregate of the rows;
+    rows are never multiplied by the grid, and a cell's constants are added afterwards.
     """
-    import math
-
-    grid_ = [(nu, sc) for nu in (2.5, 3.0, 4.0, 6.0, 10.0, 30.0) for sc in (0.4, 0.6, 0.8, 1.0, 1.4)]
-    e = edges(spark, d).where("ret IS NOT NULL")
-    e = e.withColumn("sd", F.stddev_pop("ret").over(W.partitionBy(*KEYS))).where("sd > 0").withColumn("z2", F.pow(F.col("ret") / F.col("sd"), 2))
-    sums = [F.sum(F.lit(-(nu + 1) / 2) * F.ln(1 + F.col("z2") / (sc * sc * nu))).alias(f"l{i}") for i, (nu, sc) in enumerate(grid_)]
-    a = e.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), *sums)
-    const = lambda nu, sc: math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(nu * math.pi) - math.log(sc)
-    best = F.array_max(F.array(*(F.struct((F.col(f"l{i}") + F.col("n") * const(nu, sc)).alias("ll"), F.lit(-nu).alias("nu"), F.lit(-sc).alias("sc")) for i, (nu, sc) in enumerate(grid_))))
-    return a.select(*KEYS, (-best["nu"]).alias("nu"), (-best["sc"]).alias("scale"))
+    e = edges(spark, d).where("ret IS NOT NULL").select(*KEYS, "ret")
+    sd = e.groupBy(*KEYS).agg(F.stddev_pop("ret").alias("sd")).where("sd > 0")
+    z = materialize(e.join(sd, KEYS).select(*KEYS, F.pow(F.col("ret") / F.col("sd"), 2).alias("z2")), "returns")  # read five times
+    constant = [math.lgamma((v + 1) / 2) - math.lgamma(v / 2) - 0.5 * math.log(v * math.pi) for v in NUS]
+    coarse = [(i, j) for i in range(0, len(NUS), _COARSE) for j in range(0, len(SCALES), 4)]
+    out = T.StructType([*(z.schema[k] for k in KEYS), T.StructField("i", T.LongType()), T.StructField("j", T.LongType())])
+
+    def around(i: int, j: int, wide: int, tall: int) -> list[tuple[int, int]]:
+        inside = lambda v, n: min(max(v, 0), n - 1)
+        return [(inside(i + a * wide, len(NUS)), inside(j + b * tall, len(SCALES))) for a in range(-2, 3) for b in range(-2, 3)]
+
+    def best(rows: DataFrame, q: list[Column], shape: tuple[int, int] | None) -> DataFrame:
+        keys = [*KEYS, "i", "j"] if shape else KEYS
+        s = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array(*(F.sum(F.ln(1 + F.col("z2") / v)) for v in q)).alias("l"))
+
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                got = []
+                for r in b.to_pylist():
+                    cells = around(r["i"], r["j"], *shape) if shape else coarse
+                    got.append(max((r["n"] * (constant[i] - math.log(SCALES[j])) - (NUS[i] + 1) / 2 * l, -i, -j) for (i, j), l in zip(cells, r["l"])))
+                yield pa.RecordBatch.from_arrays([b["feed_id"], b["symbol"], pa.array([-g[1] for g in got], pa.int64()), pa.array([-g[2] for g in got], pa.int64())], out.names)
+
+        return materialize(s.mapInArrow(choose, out), "cells")  # a row a series
+
+    found = best(z, [F.lit(SCALES[j] * SCALES[j] * NUS[i]) for i, j in coarse], None)
+    nu, scale = (F.array(*map(F.lit, v)) for v in (NUS, SCALES))
+    for shape in ((3, 2), (1, 1), (1, 1), (1, 1)):
+        move = lambda c, n, w: F.array(*(F.greatest(F.lit(0), F.least(F.lit(n - 1), F.col(c) + a * w)).cast("int") + 1 for a in range(-2, 3)))
+        near = found.select(*KEYS, "i", "j", move("i", len(NUS), shape[0]).alias("ci"), move("j", len(SCALES), shape[1]).alias("cj"))
+        near = near.select(*KEYS, "i", "j", F.transform("ci", lambda c: F.element_at(nu, c)).alias("ci"), F.transform("cj", lambda c: F.element_at(scale, c)).alias("cj"))
+        q = [F.col("cj")[b] * F.col("cj")[b] * F.col("ci")[a] for a in range(5) for b in range(5)]
+        found = best(z.join(near, KEYS), q, shape)
+    return found.select(*KEYS, F.element_at(nu, (F.col("i") + 1).cast("int")).alias("nu"), F.element_at(scale, (F.col("j") + 1).cast("int")).alias("scale"))
 
 
 @query(f"""
@@ -293,9 +351,12 @@ def innovations(spark: SparkSession, d: str) -> DataFrame:
     """Residuals standardised by the scale before them and the root of their season."""
     e = edges(spark, d).withColumn("r1", F.lag("ret").over(S.ordered(KEYS))).withColumns({"eps": F.when(F.col("two_step"), F.col("ret") - 0.1 * F.col("r1")), "how": S.hour_of_week()})
     sd = F.sqrt(F.avg(F.col("eps") * F.col("eps")).over(S.ordered(KEYS).rowsBetween(-50, -1)))
-    season = F.avg(F.abs("ret")).over(W.partitionBy(*KEYS, "how")) / F.avg(F.abs("ret")).over(W.partitionBy(*KEYS))
-    e = e.withColumns({"sd": sd, "m": F.avg(F.abs("ret")).over(W.partitionBy(*KEYS))})
-    e = e.withColumn("season", F.when(F.col("m") > 0, season))
+    # the seasons of a series are at most 168 rows: aggregated, then joined back
+    h = e.where("ret IS NOT NULL").groupBy(*KEYS, "how").agg(F.sum(F.abs("ret")).alias("s"), F.count(F.lit(1)).alias("c"))
+    w = W.partitionBy(*KEYS)
+    h = h.select(*KEYS, "how", F.expr("s / c").alias("mh"), (F.sum("s").over(w) / F.sum("c").over(w)).alias("m"))
+    h = h.select(*KEYS, "how", F.when(F.col("m") > 0, F.col("mh") / F.col("m")).alias("season"))
+    e = e.withColumn("sd", sd).join(h, [*KEYS, "how"], "left")
     return e.select(*KEYS, "k", rd(F.when(F.expr("sd > 0 AND season > 0"), F.col("eps") / (F.col("sd") * F.sqrt("season"))), 5).alias("z"))
 
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -167,7 +169,10 @@ def publish(spark: SparkSession, frames: dict[str, DataFrame], path: str, meta:
     try:
         tables = {}
         for name, df in frames.items():
-            w = df.write.option("compression", "zstd")
+            first = df.columns[0]
+            # what Spark keeps of a column's metadata stands in the footer of each Parquet file
+            noted = df.withMetadata(first, (df.schema[first].metadata or {}) | {"table": name, "published": meta or {}})
+            w = noted.write.option("compression", "zstd")
             keys = list((partition_by or {}).get(name, ()))
             (w.partitionBy(*keys) if keys else w).parquet(f"{stage}/{name}")
             back = spark.read.schema(df.schema).parquet(f"{stage}/{name}").select(df.columns)
@@ -185,6 +190,22 @@ def publish(spark: SparkSession, frames: dict[str, DataFrame], path: str, meta:
         raise
 
 
+def footer_metadata(spark: SparkSession, path: str) -> dict[str, Any]:
+    """What :func:`publish` noted in the footers of a table's files: its name and ``meta``."""
+    m = spark.read.parquet(path).schema.fields[0].metadata
+    return {k: m[k] for k in ("table", "published") if k in m}
+
+
+def frame_errors(df: DataFrame, expected: T.StructType, ordered: bool = True) -> list[str]:
+    """What is wrong with a frame's columns: missing, unexpected, of another type, in another order."""
+    have, want = {f.name: f.dataType for f in df.schema.fields}, {f.name: f.dataType for f in expected.fields}
+    out = [f"{c}: missing" for c in want if c not in have] + [f"{c}: unexpected" for c in have if c not in want]
+    out += [f"{c}: {have[c].simpleString()}, not {t.simpleString()}" for c, t in want.items() if c in have and have[c] != t]
+    if ordered and not out and df.columns != list(want):
+        out.append(f"order: {df.columns}, not {list(want)}")
+    return out
+
+
 def load_manifest(spark: SparkSession, path: str) -> dict[str, Any]:
     """The manifest of a published directory; one that was changed is refused."""
     m = strict_json(_get(spark, f"{path.rstrip('/')}/manifest.json").decode())
@@ -206,6 +227,26 @@ def write_csv_gz(df: DataFrame, path: str) -> None:
     df.write.option("header", True).option("compression", "gzip").csv(path)
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 and size of every file under a path, computed where the files are read."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+def file_hashes(spark: SparkSession, path: str, piece: int = 64 << 20) -> DataFrame:
+    """SHA-256 and size of every file under a path, computed where the files lie.
+
+    Files are read ``piece`` bytes at a time with Arrow's file systems, so none is ever held
+    as a whole.  Empty files, which Spark does not list, are left out.
+    """
+    names = spark.read.format("binaryFile").load(path).select("path", "length")
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for b in batches:
+            out = []
+            for uri in b["path"].to_pylist():
+                files, at = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
+                h = hashlib.sha256()
+                with files.open_input_stream(at) as f:
+                    while data := f.read(piece):
+                        h.update(data)
+                out.append(h.hexdigest())
+            yield pa.RecordBatch.from_arrays([b["path"], b["length"], pa.array(out, pa.string())], ["path", "length", "sha256"])
+
+    return names.mapInArrow(digest, "path string, length long, sha256 string")
