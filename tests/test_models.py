@@ -178,3 +178,27 @@ def test_every_row_with_its_outcome_before_the_split_trains(spark, monkeypatch):
     train, scored = C._parts(spark, "")
     assert sorted(r.k for r in train.collect()) == list(range(5 * 24 - 1))
     assert sorted(r.k for r in scored.collect()) == list(range(5 * 24, 20 * 24))
+
+
+def test_three_are_replayed_together(spark):
+    from tidemill.operators import dynamics as D
+    from tidemill.plans import model_queries as M
+
+    rng = np.random.default_rng(3)
+    c = [np.zeros((3, 3)), 1e-5 * rng.normal(size=(3, 3)), np.full((3, 3), 9.0)]  # the last grows without bound
+    rows, want = [], {}
+    for seg, n in ((0, 30), (1, 12)):
+        xs = np.cumsum(rng.normal(0, 1e-3, (n, 3)), axis=0)
+        k, g, q = rng.uniform(-1e-6, 1e-5, (n, 3)), rng.uniform(1e-4, 1e-3, (n, 3)), rng.normal(0, 1e-3, (n, 3))
+        r = D.Replayer(3)
+        for t in range(n):
+            m = c[min(t // 10, 2)]
+            f, held = r.row(xs[t], q[t], k[t], g[t], m, 60.0, t == 0)
+            want[seg, t] = f.copy(), held
+            rows.append((60, seg, t, xs[t].tolist(), q[t].tolist(), k[t].tolist(), g[t].tolist(), None if t < 10 else m.ravel().tolist()))
+    df = spark.createDataFrame(rows, "bar_seconds long, segment_id long, t long, xs array<double>, x_eq array<double>, kappa array<double>, gamma array<double>, c array<double>").repartition(5)
+    got = {(r.segment_id, r.t): r for r in M.coupled_replay(df, 3).collect()}
+    assert len(got) == len(want)
+    for key, (f, held) in want.items():
+        assert np.allclose(got[key].forecast, f, rtol=1e-12) and got[key].held == held
+    assert not got[0, 15].held and got[0, 25].held and got[1, 0].held

@@ -96,3 +96,26 @@ def test_chain(spark):
     missing = Q.check_chain(chain.where("i <> 9"), ["feed"], "i", "h")
     assert [r.i for r in missing.where("NOT joined").collect()] == [12] and missing.where("NOT bound").count() == 0
     assert Q.hash_chain(df.limit(0), ["feed"], "i", "h").collect() == []
+
+
+def test_slots_change_nothing(spark):
+    """A series cut into slots of time has the edges and the lookups of the whole series."""
+    rnd = random.Random(6)
+    rows = [(f, k, 60, rnd.random()) for f in ("a", "b") for k in sorted(rnd.sample(range(-40, 300), 260))]
+    s = spark.createDataFrame(rows, "key string, k long, step long, x double")
+    want = sorted(tuple(r) for r in S.with_edges(s, ["key"]).select("key", "k", "ret", "contiguous", "two_step", "segment_id").collect())
+    segment, last = {}, {}
+    for f, k, _, x in rows:
+        segment[f] = segment.get(f, -1) + (last.get(f, (None,))[0] != k - 1)
+        got = next(w for w in want if w[:2] == (f, k))
+        assert got[5] == segment[f] and got[3] == (last.get(f, (None,))[0] == k - 1)
+        last[f] = (k, x)
+    for slot in (2, 7, 100):
+        assert sorted(tuple(r) for r in S.with_edges(s, ["key"], slot).select("key", "k", "ret", "contiguous", "two_step", "segment_id").collect()) == want
+    left = spark.createDataFrame([(rnd.choice(["a", "b", None]), rnd.choice([None, *range(0, 400)]), i) for i in range(200)], "key string, t long, i long")
+    right = spark.createDataFrame([(rnd.choice(["a", "b", None]), rnd.choice([None, *range(0, 400, 3)]), rnd.randrange(3), i) for i in range(90)], "key string, at long, rank long, v long")
+    for forward in (False, True):
+        for age in (None, 20.0):
+            look = lambda slot: sorted((tuple(r) for r in J.asof(left, right, ["key"], "t", "at", ["v"], ["rank", "v"], max_age=age, forward=forward, slot=slot).collect()), key=str)  # noqa: E731, B023
+            whole = look(None)
+            assert len(whole) == 200 and all(look(slot) == whole for slot in (1.0, 30.0, 1e6))

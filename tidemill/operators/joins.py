@@ -24,6 +24,7 @@ def asof(
     max_age: float | None = None,
     forward: bool = False,
     prefix: str = "",
+    slot: float | None = None,
 ) -> DataFrame:
     """Each left row with the ``carry`` columns of the last right row of its keys at or
     before its time (``forward``: the first strictly after), null if there is none or it is
@@ -32,6 +33,10 @@ def asof(
     Among right rows of one time the one last in order of ``rank`` wins (forward: the
     first).  Times are numbers.  Left rows with a null time, and rows with null keys
     together as one entity, are kept; right rows with a null time are left out.
+
+    ``slot``: a length of time by which keys are cut, so that one with a third of all rows
+    is spread over tasks; what a slot must know of those before it is one row, found from
+    the last right rows of all slots.
     """
     got = F.struct(F.col(right_t).alias("__t"), *(F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)))
     ranks = [f"__r{i}" for i in range(len(rank))]
@@ -39,10 +44,19 @@ def asof(
     l = left.select(*keys, F.col(left_t).alias("__at"), F.struct(*(F.col(f"`{c}`") for c in left.columns)).alias("__left"), F.lit(1).alias("__side"))
     u = r.unionByName(l, allowMissingColumns=True)
     if forward:  # from the end: a left row stands before right rows of its own time
-        order = [F.col("__at").desc(), F.col("__side").desc(), *(F.col(n).desc() for n in ranks)]
+        order = [F.col("__at").desc_nulls_first(), F.col("__side").desc(), *(F.col(n).desc() for n in ranks)]
     else:
         order = [F.col("__at").asc(), F.col("__side").asc(), *(F.col(n).asc() for n in ranks)]
-    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    by = list(keys)
+    if slot:
+        by.append("__slot")
+        u = u.withColumn("__slot", F.expr(f"cast(floor(__at / {float(slot)}D) as bigint)"))
+        at = F.when(F.col("__side") == 0, F.struct("__at", *ranks))
+        ends = u.where("__slot IS NOT NULL").groupBy(*by).agg((F.min_by if forward else F.max_by)("__got", at).alias("__end"))
+        along = W.partitionBy(*keys).orderBy(F.col("__slot").desc() if forward else F.col("__slot")).rowsBetween(W.unboundedPreceding, -1)
+        carried = ends.select(*by, F.last("__end", ignorenulls=True).over(along).alias("__got"), F.lit(0).alias("__side")).where("__got IS NOT NULL")
+        u = u.unionByName(carried, allowMissingColumns=True)  # without a time, so first in its slot
+    w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     u = u.withColumn("__got", F.last("__got", ignorenulls=True).over(w)).where("__side = 1")
     fits = F.col("__at").isNotNull() & F.col("__got").isNotNull()
     if max_age is not None:

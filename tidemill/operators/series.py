@@ -55,20 +55,35 @@ def constraints(rows: DataFrame, rules: dict[str, str]) -> DataFrame:
     return a.select(F.explode(entries).alias("e"), F.col("__n").alias("n_rows")).select("e.rule", "e.violations", "n_rows")
 
 
-def with_edges(s: DataFrame, keys: Sequence[str]) -> DataFrame:
+#: Periods of a slot into which a series is cut.
+SLOT = 1 << 16
+
+
+def with_edges(s: DataFrame, keys: Sequence[str], slot: int = SLOT) -> DataFrame:
     """Adds ``ret`` (null across a gap), ``contiguous``, ``two_step`` and ``segment_id``.
 
     The first row is no contiguous arrival; the first row after a gap opens a segment.
+
+    A row needs only the two periods before it, so a series is cut into slots of ``slot``
+    periods, each with the last two of the slot before: one that holds a third of all rows
+    is spread over tasks.  Segments are numbered in each slot and begin after those counted
+    in the slots before it.
     """
-    w = ordered(keys)
+    own = F.expr(f"cast(floor(k / {slot}) as bigint)")
+    into = F.when(F.expr(f"pmod(k, {slot}) >= {slot - 2}"), F.array(own, own + 1)).otherwise(F.array(own))
+    s = s.withColumn("__own", own).withColumn("__slot", F.explode(into))
+    w = ordered([*keys, "__slot"])
     d = F.col("k") - F.lag("k").over(w)
     s = s.withColumn("contiguous", F.coalesce(d == 1, F.lit(False)))
     s = s.withColumns({
         "ret": F.when(F.col("contiguous"), F.col("x") - F.lag("x").over(w)),
         "two_step": F.col("contiguous") & F.coalesce(F.lag("contiguous").over(w), F.lit(False)),
-        "segment_id": F.sum((~F.col("contiguous")).cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0)) - 1,
-    })
-    return s
+        "segment_id": F.sum((~F.col("contiguous") & (F.col("__own") == F.col("__slot"))).cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0)) - 1,
+    }).where("__own = __slot")
+    slots = s.groupBy(*keys, "__slot").agg((F.max("segment_id") + 1).alias("__n"))  # a row a slot
+    before = F.coalesce(F.sum("__n").over(ordered(keys, "__slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    s = s.join(slots.select(*keys, "__slot", before.alias("__before")), [*keys, "__slot"])
+    return s.withColumn("segment_id", F.col("segment_id") + F.col("__before")).drop("__own", "__slot", "__before")
 
 
 def kinematics(s: DataFrame, keys: Sequence[str]) -> DataFrame:

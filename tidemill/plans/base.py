@@ -11,6 +11,8 @@ from tidemill.operators import series as S
 from tidemill.session import table
 
 KEYS = ["feed_id", "symbol"]
+#: Length of the slots into which lookups by time cut a series.
+WEEK_US = 7 * 86_400_000_000
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import joins as J
 from tidemill.operators import series as S
-from tidemill.plans.base import EDGES, GRID, KEYS, Registry, edges, grid, rd
+from tidemill.plans.base import EDGES, GRID, KEYS, WEEK_US, Registry, edges, grid, rd
 from tidemill.plans.core_problems import exposed_pairs
 from tidemill.session import table
 
@@ -67,7 +67,7 @@ _PARAMS = "p AS (SELECT feed_id, symbol, timestamp, arg_max(struct_pack(a := par
 def _held(spark: SparkSession, d: str, max_age: float | None) -> DataFrame:
     g = grid(spark, d).select(*KEYS, "k", ((F.col("k") + 1) * F.col("step") * 1_000_000).alias("us"))
     p = table(spark, d, "dynamics_params").where("sigma_eps IS NOT NULL").select(*KEYS, F.unix_micros("timestamp").alias("t"), "param_id", "recorded_at", (-F.col("param_id")).alias("low"))
-    return J.asof(g, p, KEYS, "us", "t", ["param_id", "t"], ["recorded_at", "low"], max_age)
+    return J.asof(g, p, KEYS, "us", "t", ["param_id", "t"], ["recorded_at", "low"], max_age, slot=WEEK_US)
 
 
 @query(f"""WITH {GRID}, {_PARAMS}
@@ -96,7 +96,7 @@ def forward_first_bar(spark: SparkSession, d: str) -> DataFrame:
     """First bar that starts strictly after each decision."""
     ev = exposed_pairs(table(spark, d, "legal_events").select("event_seq", "feed_id", "decision_at", "pair_exposures")).withColumn("us", F.unix_micros("decision_at"))
     g = grid(spark, d).select(*KEYS, "k", (F.col("k") * F.col("step") * 1_000_000).alias("t"))
-    return J.asof(ev, g, KEYS, "us", "t", ["k"], forward=True).select("event_seq", *KEYS, "k")
+    return J.asof(ev, g, KEYS, "us", "t", ["k"], forward=True, slot=WEEK_US).select("event_seq", *KEYS, "k")
 
 
 @query(f"""WITH {EDGES} SELECT feed_id, symbol, k, round(CASE WHEN lead(segment_id, 5) OVER w = segment_id THEN lead(x, 5) OVER w - x END, 9) + 0.0 AS outcome,
@@ -196,7 +196,7 @@ def event_study(spark: SparkSession, d: str) -> DataFrame:
         F.when(same(F.lead("segment_id", 3).over(w)), F.lead("x", 3).over(w) - F.col("x")).alias("post"),
         F.when(same(F.lag("segment_id", 6).over(w)), F.col("x") - F.lag("x", 6).over(w)).alias("pre"))
     ev = table(spark, d, "legal_events").select("event_seq", "feed_id", F.unix_micros("decision_at").alias("us"), F.explode("pair_exposures").alias("symbol", "exposure")).where("exposure <> 0")
-    s = J.asof(ev, o, KEYS, "us", "t", ["k", "post", "pre"], forward=True).where("k IS NOT NULL")
+    s = J.asof(ev, o, KEYS, "us", "t", ["k", "post", "pre"], forward=True, slot=WEEK_US).where("k IS NOT NULL")
     match = F.when(F.col("post") != 0, F.signum("post") == F.signum("exposure"))
     return s.select("event_seq", "symbol", F.col("k").alias("k0"), rd("post").alias("realised"), rd(F.col("pre") / 2).alias("expected"), rd(F.col("post") - F.col("pre") / 2).alias("abnormal"), match.alias("direction_match"))
 

@@ -17,7 +17,7 @@ from tidemill.operators import factors as X
 from tidemill.operators import filters as Q
 from tidemill.operators import joins as J
 from tidemill.operators.sequential import ordered_scan, panel_segments, per_segment, standardised
-from tidemill.plans.base import KEYS, Registry, grid
+from tidemill.plans.base import KEYS, WEEK_US, Registry, grid
 from tidemill.plans.join_queries import SYMBOLS
 from tidemill.plans.scoring_queries import _parts
 from tidemill.session import table
@@ -253,7 +253,7 @@ def replay(spark: SparkSession, d: str) -> DataFrame:
     g = g.withColumn("segment_id", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)) - 1)
     g = g.select(*KEYS, "segment_id", "step", "k", "x", ((F.col("k") + 1) * F.col("step") * 1_000_000).alias("us"))
     p = _configurations(spark, d).where("x_eq IS NOT NULL").select(*KEYS, F.unix_micros("timestamp").alias("t"), "kappa", "gamma", "x_eq")
-    rows = J.asof(g, p, KEYS, "us", "t", ["kappa", "gamma", "x_eq"]).where("kappa IS NOT NULL")
+    rows = J.asof(g, p, KEYS, "us", "t", ["kappa", "gamma", "x_eq"], slot=WEEK_US).where("kappa IS NOT NULL")
     # a segment starts anew at its first row with parameters
     first = F.row_number().over(W.partitionBy(*KEYS, "segment_id").orderBy("k")) == 1
     rows = rows.select(*KEYS, "segment_id", "step", "k", "x", "kappa", "gamma", "x_eq", first.alias("first"))
@@ -298,16 +298,62 @@ def trailing_ridge(pairs: DataFrame, n: int, window: int) -> DataFrame:
     return ordered_scan(rows.withColumn("last", last), PANEL, [*PANEL, "t"], advance, kinds).where("last").select(*PANEL, "day", *kinds)
 
 
-@query()
-def ridge_coupling(spark: SparkSession, d: str) -> DataFrame:
-    """Matrix of lagged slopes by ridge regression at each day's end over the last 28,800
-    samples of all symbols, one row per cell."""
+def return_pairs(spark: SparkSession, d: str, names: list[str]) -> DataFrame:
+    """bar_seconds, segment_id, t, z, y: each return of the panel's symbols and the next one."""
 
     def body(t: np.ndarray, xs: np.ndarray) -> dict:
         r = np.diff(xs, axis=0)
         return {"t": t[2:], "z": r[:-1].tolist(), "y": r[1:].tolist()}
 
-    pairs = per_segment(segments(spark, d, SYMBOLS), PANEL, body, {"t": L, "z": V, "y": V})
+    return per_segment(segments(spark, d, names), PANEL, body, {"t": L, "z": V, "y": V})
+
+
+def coupled_replay(rows: DataFrame, n: int) -> DataFrame:
+    """Rows bar_seconds, segment_id, t with arrays xs, x_eq, kappa, gamma of ``n`` and c of n²
+    (null: no coupling), which are replayed together segment by segment."""
+    first = F.row_number().over(W.partitionBy(*PANEL, "segment_id").orderBy("t")) == 1
+
+    def advance(state, b: pa.RecordBatch):
+        state = state or D.Replayer(n)
+        xs, q, k, g = (b[c].flatten().to_numpy().reshape(-1, n) for c in ("xs", "x_eq", "kappa", "gamma"))
+        out, held = np.empty(xs.shape), np.empty(len(xs), dtype=bool)
+        last, matrix = None, None
+        for i, (c, dt, anew) in enumerate(zip(b["c"], b["bar_seconds"].to_pylist(), b["first"].to_pylist())):
+            c = c.as_py()
+            if c != last or matrix is None:  # a matrix is in force for a day
+                last, matrix = c, np.zeros((n, n)) if c is None else np.array(c).reshape(n, n)
+            out[i], held[i] = state.row(xs[i], q[i], k[i], g[i], matrix, float(dt), bool(anew))
+        return state, {"forecast": pa.array(out.tolist(), pa.list_(pa.float64())), "held": pa.array(held)}
+
+    keep = [*PANEL, "segment_id", "t", "xs", "x_eq", "kappa", "gamma", "c", first.alias("first")]
+    return ordered_scan(rows.select(*keep), [*PANEL, "segment_id"], [*PANEL, "segment_id", "t"], advance, {"forecast": V, "held": B})
+
+
+@query()
+def replay_coupled(spark: SparkSession, d: str) -> DataFrame:
+    """Three symbols replayed together: each under its own parameters in force, coupled by the
+    ridge matrix of the last 28,800 samples at the end of the last full day, in 1/s²."""
+    rows = segments(spark, d, THREE).withColumn("us", (F.col("t") + 1) * F.col("bar_seconds") * 1_000_000)
+    own = table(spark, d, "dynamics_params").join(table(spark, d, "series").select(*KEYS, F.col("bar_seconds").cast("long").alias("bar_seconds")), KEYS)
+    own = own.where("kappa IS NOT NULL AND gamma IS NOT NULL AND x_eq IS NOT NULL")
+    for i, s in enumerate(THREE):  # of feeds with equal bars the row that was recorded last
+        p = own.where(F.col("symbol") == s).groupBy(*PANEL, F.unix_micros("timestamp").alias("at"))
+        p = p.agg(F.max_by(F.struct("kappa", "gamma", "x_eq"), F.struct("recorded_at", -F.col("param_id"))).alias(f"p{i}"))
+        rows = J.asof(rows, p, PANEL, "us", "at", [f"p{i}"], slot=WEEK_US)
+    rows = rows.where(" AND ".join(f"p{i} IS NOT NULL" for i in range(len(THREE))))
+    m = trailing_ridge(return_pairs(spark, d, THREE), len(THREE), WINDOW).where("n >= 10 AND condition <= 1e12D")
+    m = m.select(*PANEL, ((F.col("day") + 1) * 86_400_000_000).alias("at"), F.transform("c", lambda v: v / F.pow("bar_seconds", F.lit(2.0))).alias("c"))
+    rows = J.asof(rows, m, PANEL, "us", "at", ["c"], slot=WEEK_US)
+    pick = lambda f: F.array(*(F.col(f"p{i}.{f}") for i in range(len(THREE)))).alias(f)
+    done = coupled_replay(rows.select(*PANEL, "segment_id", "t", "xs", "c", pick("x_eq"), pick("kappa"), pick("gamma")), len(THREE))
+    return done.select(*PANEL, "segment_id", "t", "forecast", F.zip_with("forecast", "xs", lambda f, x: f - x).alias("error"), "held", F.col("c").isNotNull().alias("coupled"))
+
+
+@query()
+def ridge_coupling(spark: SparkSession, d: str) -> DataFrame:
+    """Matrix of lagged slopes by ridge regression at each day's end over the last 28,800
+    samples of all symbols, one row per cell."""
+    pairs = return_pairs(spark, d, SYMBOLS)
     n, names = len(SYMBOLS), F.array(*map(F.lit, SYMBOLS))
     state = F.expr("CASE WHEN n < 10 THEN 'INSUFFICIENT_HISTORY' WHEN condition > 1e12D THEN 'REJECTED_NUMERICAL_CONDITION' ELSE 'ACCEPTED' END")
     m = trailing_ridge(pairs, n, WINDOW).select("*", F.posexplode("c").alias("i", "v"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.operators import series as S
-from tidemill.plans.base import EDGES, GRID, KEYS, Registry, edges, grid, rd
+from tidemill.plans.base import EDGES, GRID, KEYS, WEEK_US, Registry, edges, grid, rd
 from tidemill.session import materialize, table
 
 query = Registry()
@@ -400,6 +400,6 @@ def candidate_reasons(spark: SparkSession, d: str) -> DataFrame:
 
     e = edges(spark, d).withColumns({"nx": F.lead("contiguous").over(S.ordered(KEYS)), "us": F.col("k") * F.col("step") * 1_000_000})
     p = table(spark, d, "dynamics_params").where("kappa IS NOT NULL").select(*KEYS, F.unix_micros("timestamp").alias("t"))
-    a = asof(e.select(*KEYS, "k", "contiguous", "nx", "us"), p, KEYS, "us", "t", ["t"], max_age=129_600_000_000.0)
+    a = asof(e.select(*KEYS, "k", "contiguous", "nx", "us"), p, KEYS, "us", "t", ["t"], max_age=129_600_000_000.0, slot=WEEK_US)
     reason = F.when(~F.col("contiguous"), "post_gap_reset_skip").when(~F.coalesce("nx", F.lit(False)), "pre_gap_skip").when(F.col("t").isNull(), "stale_coupling_skip")
     return a.select(*KEYS, "k", reason.when(F.expr("k % 5 = 0"), "selected").otherwise("eligible_unselected").alias("reason"))
