@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,9 +16,11 @@ from tidemill.operators import dynamics as D
 from tidemill.operators import factors as X
 from tidemill.operators import filters as Q
 from tidemill.operators import joins as J
-from tidemill.operators.sequential import ordered_scan, panel_segments, per_segment, standardised
-from tidemill.plans.base import KEYS, WEEK_US, Registry, grid
+from tidemill.operators import series as S
+from tidemill.operators.sequential import numbered, ordered_scan, panel_segments, per_segment, standardised
+from tidemill.plans.base import GRID, KEYS, WEEK_US, Registry, grid, rd
 from tidemill.plans.join_queries import SYMBOLS
+from tidemill.plans.scoring_queries import _SPLIT as SPLIT
 from tidemill.plans.scoring_queries import _parts
 from tidemill.session import table
 
@@ -401,17 +403,31 @@ def basket_weights(spark: SparkSession, d: str) -> DataFrame:
     return factor_state(spark, d).select(*PANEL, "t", "levels", "component").mapInArrow(build, "bar_seconds long, t long, weights array<double>, preserved double, distortion double")
 
 
-@query()
-def frozen_targets(spark: SparkSession, d: str) -> DataFrame:
-    """Path outcomes of each symbol's displacement from its segment's start over six rows."""
+#: Rows after a row that its path goes on for.
+STEPS = 6
 
-    def body(t: np.ndarray, xs: np.ndarray) -> dict:
-        x = xs[:, 0] - xs[0, 0]
-        o = X.path_outcomes(x, 6)
-        return {"t": t[: len(o["change"])], **{k: v for k, v in o.items()}}
 
-    own = native(grid(spark, d)).where(F.col("symbol").isin(SYMBOLS)).withColumn("one", F.lit("x"))
-    return per_segment(panel_segments(own, [*PANEL, "symbol"], "k", "one", ["x"], "x"), [*PANEL, "symbol"], body, {"t": L, "change": N, "adverse": N, "largest": N, "crossed": L})
+@query(f"""WITH {GRID}, n AS (SELECT step AS bar_seconds, symbol, k, median(x) AS x FROM g WHERE symbol IN {tuple(SYMBOLS)} GROUP BY ALL),
+c AS (SELECT *, CASE WHEN k - lag(k) OVER w = 1 THEN 0 ELSE 1 END AS new FROM n WINDOW w AS (PARTITION BY bar_seconds, symbol ORDER BY k)),
+s AS (SELECT *, CAST(sum(new) OVER (PARTITION BY bar_seconds, symbol ORDER BY k ROWS UNBOUNDED PRECEDING) AS BIGINT) - 1 AS segment_id FROM c),
+l AS (SELECT *, x - first(x) OVER (PARTITION BY bar_seconds, symbol, segment_id ORDER BY k) AS l FROM s),
+a AS (SELECT *, [{", ".join(f"lead(l, {i}) OVER w" for i in range(1, STEPS + 1))}] AS a FROM l WINDOW w AS (PARTITION BY bar_seconds, symbol, segment_id ORDER BY k)),
+o AS (SELECT *, [v * sign(l) <= 0 FOR v IN a] AS over FROM a WHERE a[{STEPS}] IS NOT NULL)
+SELECT bar_seconds, symbol, segment_id, k AS t, round(a[{STEPS}] - l, 8) + 0.0 AS change, round(greatest(0.0::DOUBLE, list_max([(v - l) * sign(l) FOR v IN a])), 8) + 0.0 AS adverse, round(list_max([abs(v) FOR v IN a]), 8) + 0.0 AS largest,
+  CASE WHEN list_contains(over, true) THEN list_position(over, true) ELSE -1 END::BIGINT AS crossed FROM o""")
+def frozen_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Path of each symbol's displacement from its segment's start over the six rows after each
+    row: change to the end, largest adverse and absolute move, first step beyond zero (-1: never)."""
+    keys = [*PANEL, "symbol"]
+    own = native(grid(spark, d)).where(F.col("symbol").isin(SYMBOLS)).withColumn("step", F.col("bar_seconds"))
+    w = S.ordered([*keys, "segment_id"])
+    e = S.with_edges(own, keys).withColumn("l", F.col("x") - F.first("x").over(w))
+    e = e.withColumn("a", F.array(*(F.lead("l", i).over(w) for i in range(1, STEPS + 1)))).where(F.col("a")[STEPS - 1].isNotNull())
+    side = F.signum("l")
+    over = F.transform("a", lambda v: v * side <= 0)
+    change, adverse = F.col("a")[STEPS - 1] - F.col("l"), F.greatest(F.lit(0.0), F.array_max(F.transform("a", lambda v: (v - F.col("l")) * side)))
+    largest, crossed = F.array_max(F.transform("a", lambda v: F.abs(v))), F.array_position(over, True)
+    return e.select(*keys, "segment_id", F.col("k").alias("t"), rd(change, 8).alias("change"), rd(adverse, 8).alias("adverse"), rd(largest, 8).alias("largest"), F.when(crossed > 0, crossed).otherwise(-1).cast("long").alias("crossed"))
 
 
 @query()
@@ -443,16 +459,23 @@ def block_bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     return point.join(bounds, "symbol")
 
 
-@query()
+@query(f"""WITH {SPLIT}, r AS (SELECT symbol, p, up, row_number() OVER (PARTITION BY symbol ORDER BY md5(concat_ws('|', '1', feed_id, k)), feed_id, k) AS i, row_number() OVER (PARTITION BY symbol ORDER BY md5(concat_ws('|', '2', feed_id, k)), feed_id, k) AS j FROM oo)
+SELECT a.symbol, count(*) AS n, round(avg((a.p - a.up) * (a.p - a.up)), 8) + 0.0 AS brier, round(avg((a.p - b.up) * (a.p - b.up)), 8) + 0.0 AS placebo_brier, round(avg(a.up), 8) + 0.0 AS rate, round(avg(b.up), 8) + 0.0 AS placebo_rate
+FROM r a JOIN r b ON a.symbol = b.symbol AND a.i = b.j GROUP BY a.symbol""")
 def placebo_shuffle(spark: SparkSession, d: str) -> DataFrame:
-    """Brier of the forecasts against labels moved to other rows of their symbol."""
+    """Brier of the forecasts against labels moved to other rows of their symbol: the rows in
+    one random order meet the labels in another.  Both orders are sorted in ranges."""
     _, oo = _parts(spark, d)
-    key = lambda salt: F.xxhash64(F.lit(salt), "feed_id", "k")
-    by = lambda salt: F.row_number().over(W.partitionBy("symbol").orderBy(key(salt), "feed_id", "k"))
-    a, b = oo.select("symbol", "p", "up", by(1).alias("i")), oo.select("symbol", F.col("up").alias("other"), by(2).alias("i"))
-    j = a.join(b, ["symbol", "i"])
+
+    def order(salt: str, *columns: Column) -> DataFrame:
+        key = F.md5(F.concat_ws("|", F.lit(salt), F.col("feed_id"), F.col("k").cast("string"))).alias("key")
+        n = numbered(oo.select("symbol", key, "feed_id", "k", *columns), ["symbol", "key", "feed_id", "k"], "i")
+        first = n.groupBy("symbol").agg(F.min("i").alias("first"))  # a row a symbol
+        return n.join(first, "symbol").select("symbol", (F.col("i") - F.col("first")).alias("i"), *columns)
+
+    j = order("1", F.col("p"), F.col("up")).join(order("2", F.col("up")).withColumnRenamed("up", "other"), ["symbol", "i"])
     err = lambda y: F.avg((F.col("p") - F.col(y)) * (F.col("p") - F.col(y)))
-    return j.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), err("up").alias("brier"), err("other").alias("placebo_brier"), F.avg("up").alias("rate"), F.avg("other").alias("placebo_rate"))
+    return j.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), rd(err("up"), 8).alias("brier"), rd(err("other"), 8).alias("placebo_brier"), rd(F.avg("up"), 8).alias("rate"), rd(F.avg("other"), 8).alias("placebo_rate"))
 
 
 @query()
