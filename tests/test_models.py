@@ -189,7 +189,7 @@ def test_three_are_replayed_together(spark):
     rows, want = [], {}
     for seg, n in ((0, 30), (1, 12)):
         xs = np.cumsum(rng.normal(0, 1e-3, (n, 3)), axis=0)
-        k, g, q = rng.uniform(-1e-6, 1e-5, (n, 3)), rng.uniform(1e-4, 1e-3, (n, 3)), rng.normal(0, 1e-3, (n, 3))
+        k, g, q = rng.uniform(-1e-6, 1e-5, (n, 3)), rng.uniform(0.02, 0.1, (n, 3)), rng.normal(0, 1e-3, (n, 3))
         r = D.Replayer(3)
         for t in range(n):
             m = c[min(t // 10, 2)]
@@ -201,4 +201,4 @@ def test_three_are_replayed_together(spark):
     assert len(got) == len(want)
     for key, (f, held) in want.items():
         assert np.allclose(got[key].forecast, f, rtol=1e-12) and got[key].held == held
-    assert not got[0, 15].held and got[0, 25].held and got[1, 0].held
+    assert not got[0, 5].held and got[0, 25].held and got[1, 0].held
