@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemill.operators import joins as J
 from tidemill.operators import series as S
+from tidemill.operators.sequential import ordered_scan
 from tidemill.plans.base import EDGES, GRID, KEYS, WEEK_US, Registry, edges, grid, rd
 from tidemill.plans.core_problems import exposed_pairs
 from tidemill.session import table
@@ -178,9 +183,21 @@ def repeated_events(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT feed_id, sha256(string_agg(DISTINCT assessment_sha256, '' ORDER BY assessment_sha256)) AS root FROM legal_events WHERE assessment_sha256 IS NOT NULL GROUP BY feed_id""")
 def ledger_root(spark: SparkSession, d: str) -> DataFrame:
-    """SHA-256 over the sorted distinct assessment hashes of each feed."""
-    e = table(spark, d, "legal_events").where("assessment_sha256 IS NOT NULL").groupBy("feed_id").agg(F.sort_array(F.collect_set("assessment_sha256")).alias("h"))
-    return e.select("feed_id", F.sha2(F.array_join("h", ""), 256).alias("root"))
+    """SHA-256 over the sorted distinct assessment hashes of each feed, which pass in order
+    through one hash: no feed is ever held as a whole."""
+    e = table(spark, d, "legal_events").where("assessment_sha256 IS NOT NULL").select(F.coalesce("feed_id", F.lit("")).alias("feed"), "feed_id", "assessment_sha256").distinct()
+    w = W.partitionBy("feed").orderBy("assessment_sha256")
+    e = e.withColumns({"first": F.lag("feed").over(w).isNull(), "last": F.lead("feed").over(w).isNull()})
+
+    def step(h, b: pa.RecordBatch):
+        out = []
+        for x, first, last in zip(b["assessment_sha256"].to_pylist(), b["first"].to_pylist(), b["last"].to_pylist()):
+            h = hashlib.sha256() if first else h
+            h.update(x.encode())
+            out.append(h.hexdigest() if last else None)
+        return h, {"root": pa.array(out, pa.string())}
+
+    return ordered_scan(e, ["feed"], ["feed", "assessment_sha256"], step, {"root": T.StringType()}).where("last").select("feed_id", "root")
 
 
 @query(f"""WITH {EDGES}, {_PAIRS}, f AS (SELECT p.event_seq, p.feed_id, p.symbol, p.exposure, g.k AS k0 FROM pairs p ASOF JOIN g ON p.feed_id = g.feed_id AND p.symbol = g.symbol AND p.decision_at < make_timestamptz(g.k * g.step * 1000000)),

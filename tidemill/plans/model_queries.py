@@ -57,16 +57,29 @@ def segments(spark: SparkSession, d: str, names: list[str]) -> DataFrame:
 
 @query()
 def table_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    """SHA-256 of each series' grid: name, then its times and its closes, in order."""
+    """SHA-256 of each series' grid: name, then its times and its closes, in order.
 
-    def digest(key: tuple, t: pa.Table) -> pa.Table:
-        t = t.sort_by("k")
-        h = hashlib.sha256("|".join(k.as_py() for k in key).encode())
-        h.update((t["k"].to_numpy() * t["step"].to_numpy()).astype("<i8").tobytes())
-        h.update(t["close"].to_numpy().astype("<f8").tobytes())
-        return pa.table({"feed_id": [key[0].as_py()], "symbol": [key[1].as_py()], "sha256": [h.hexdigest()], "n": [t.num_rows]})
-
-    return grid(spark, d).select(*KEYS, "step", "k", "close").groupBy(*KEYS).applyInArrow(digest, "feed_id string, symbol string, sha256 string, n long")
+    Each column of a series passes in order through one hash, which is all that is kept.
+    """
+    g = grid(spark, d).select(*KEYS, "k", (F.col("k") * F.col("step")).alias("t"), "close").withColumn("c", F.explode(F.array(F.lit(0), F.lit(1))))
+    w = W.partitionBy(*KEYS).orderBy("c", "k")
+    g = g.withColumns({"i": F.row_number().over(w), "last": F.lead("k").over(w).isNull()})
+
+    def step(h, b: pa.RecordBatch):
+        first, last, c = (b[n].to_numpy(zero_copy_only=False) for n in ("i", "last", "c"))
+        t, close = b["t"].to_numpy().astype("<i8"), b["close"].to_numpy().astype("<f8")
+        cuts = np.flatnonzero(np.concatenate([[True], (first[1:] == 1) | (c[1:] != c[:-1])]))
+        out = [None] * len(c)
+        for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(c)]):
+            if first[i] == 1:
+                h = hashlib.sha256("|".join(b[k][i].as_py() for k in KEYS).encode())
+            h.update((close if c[i] else t)[i:j].tobytes())
+            if last[j - 1]:
+                out[j - 1] = h.hexdigest()
+        return h, {"sha256": pa.array(out, pa.string())}
+
+    done = ordered_scan(g, KEYS, [*KEYS, "c", "k"], step, {"sha256": T.StringType()}).where("last")
+    return done.select(*KEYS, "sha256", (F.col("i") / 2).cast("long").alias("n"))
 
 
 @query()
@@ -331,26 +344,65 @@ def coupled_replay(rows: DataFrame, n: int) -> DataFrame:
     return ordered_scan(rows.select(*keep), [*PANEL, "segment_id"], [*PANEL, "segment_id", "t"], advance, {"forecast": V, "held": B})
 
 
-@query()
-def replay_coupled(spark: SparkSession, d: str) -> DataFrame:
-    """Three symbols replayed together: each under its own parameters in force, coupled by the
-    ridge matrix of the last 28,800 samples at the end of the last full day, in 1/s²."""
-    rows = segments(spark, d, THREE).withColumn("us", (F.col("t") + 1) * F.col("bar_seconds") * 1_000_000)
+def _updates(spark: SparkSession, d: str) -> tuple[list[DataFrame], DataFrame]:
+    """Of each panel and each of three symbols the parameters by time (of feeds with equal bars
+    the row that was recorded last), and the accepted coupling matrices in 1/s²: the ridge
+    matrix of the last 28,800 samples, from the end of its day on."""
     own = table(spark, d, "dynamics_params").join(table(spark, d, "series").select(*KEYS, F.col("bar_seconds").cast("long").alias("bar_seconds")), KEYS)
     own = own.where("kappa IS NOT NULL AND gamma IS NOT NULL AND x_eq IS NOT NULL")
-    for i, s in enumerate(THREE):  # of feeds with equal bars the row that was recorded last
-        p = own.where(F.col("symbol") == s).groupBy(*PANEL, F.unix_micros("timestamp").alias("at"))
-        p = p.agg(F.max_by(F.struct("kappa", "gamma", "x_eq"), F.struct("recorded_at", -F.col("param_id"))).alias(f"p{i}"))
-        rows = J.asof(rows, p, PANEL, "us", "at", [f"p{i}"], slot=WEEK_US)
-    rows = rows.where(" AND ".join(f"p{i} IS NOT NULL" for i in range(len(THREE))))
+    p = []
+    for i, s in enumerate(THREE):
+        one = own.where(F.col("symbol") == s).groupBy(*PANEL, F.unix_micros("timestamp").alias("at"))
+        p.append(one.agg(F.max_by(F.struct("kappa", "gamma", "x_eq"), F.struct("recorded_at", -F.col("param_id"))).alias(f"p{i}")))
     m = trailing_ridge(return_pairs(spark, d, THREE), len(THREE), WINDOW).where("n >= 10 AND condition <= 1e12D")
-    m = m.select(*PANEL, ((F.col("day") + 1) * 86_400_000_000).alias("at"), F.transform("c", lambda v: v / F.pow("bar_seconds", F.lit(2.0))).alias("c"))
-    rows = J.asof(rows, m, PANEL, "us", "at", ["c"], slot=WEEK_US)
-    pick = lambda f: F.array(*(F.col(f"p{i}.{f}") for i in range(len(THREE)))).alias(f)
-    done = coupled_replay(rows.select(*PANEL, "segment_id", "t", "xs", "c", pick("x_eq"), pick("kappa"), pick("gamma")), len(THREE))
+    return p, m.select(*PANEL, ((F.col("day") + 1) * 86_400_000_000).alias("at"), F.transform("c", lambda v: v / F.pow("bar_seconds", F.lit(2.0))).alias("c"))
+
+
+def _in_force(rows: DataFrame, p: list[DataFrame], m: DataFrame) -> DataFrame:
+    """Rows bar_seconds, us with kappa, gamma, x_eq (arrays) and c of the configuration in force;
+    rows before the first parameters of all symbols are left out."""
+    for i, one in enumerate(p):
+        rows = J.asof(rows, one, PANEL, "us", "at", [f"p{i}"], slot=WEEK_US)
+    rows = J.asof(rows.where(" AND ".join(f"p{i} IS NOT NULL" for i in range(len(p)))), m, PANEL, "us", "at", ["c"], slot=WEEK_US)
+    arrays = {f: F.array(*(F.col(f"p{i}.{f}") for i in range(len(p)))) for f in ("kappa", "gamma", "x_eq")}
+    return rows.withColumns(arrays).drop(*(f"p{i}" for i in range(len(p))))
+
+
+@query()
+def replay_coupled(spark: SparkSession, d: str) -> DataFrame:
+    """Three symbols replayed together, each under its own parameters in force, under the
+    coupling in force."""
+    rows = segments(spark, d, THREE).withColumn("us", (F.col("t") + 1) * F.col("bar_seconds") * 1_000_000)
+    done = coupled_replay(_in_force(rows, *_updates(spark, d)), len(THREE))
     return done.select(*PANEL, "segment_id", "t", "forecast", F.zip_with("forecast", "xs", lambda f, x: f - x).alias("error"), "held", F.col("c").isNotNull().alias("coupled"))
 
 
+@query()
+def stability_table(spark: SparkSession, d: str) -> DataFrame:
+    """Raw and guarded stability at every time at which the configuration of three symbols
+    changes: the union of the times of their parameters and of their couplings."""
+    p, m = _updates(spark, d)
+    times = m.select(*PANEL, F.col("at").alias("us"))
+    for one in p:
+        times = times.unionAll(one.select(*PANEL, F.col("at").alias("us")))
+    rows = _in_force(times.distinct(), p, m).select(*PANEL, "us", "kappa", "gamma", "c")
+    n = len(THREE)
+    names = ["radius_raw", "radius", "norm", "growth", "distance", "condition"]
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k, g = (b[c].flatten().to_numpy().reshape(-1, n) for c in ("kappa", "gamma"))
+            out = []
+            for i, (c, dt) in enumerate(zip(b["c"].to_pylist(), b["bar_seconds"].to_pylist())):
+                c = np.zeros((n, n)) if c is None else np.array(c).reshape(n, n)
+                raw, ok = D.stability(k[i], g[i], c, float(dt)), D.stability(np.maximum(k[i], 0.0), g[i], c, float(dt))
+                out.append([raw["radius"], *(ok[x] for x in names[1:]), ok["radius"] <= D.RADIUS_LIMIT and ok["growth"] <= D.GROWTH_LIMIT])
+            cols = list(zip(*out)) if out else [[]] * 7
+            yield pa.RecordBatch.from_arrays([b["bar_seconds"], b["us"], *(pa.array(list(c), pa.float64()) for c in cols[:6]), pa.array(list(map(bool, cols[6])), pa.bool_())], [*PANEL, "us", *names, "stable"])
+
+    return rows.mapInArrow(rate, f"bar_seconds long, us long, {', '.join(f'{x} double' for x in names)}, stable boolean")
+
+
 @query()
 def ridge_coupling(spark: SparkSession, d: str) -> DataFrame:
     """Matrix of lagged slopes by ridge regression at each day's end over the last 28,800
