@@ -265,8 +265,8 @@ def student_t_grid(spark: SparkSession, d: str) -> DataFrame:
     """Student-t fit of standardised returns: the cell of largest likelihood of 68 degrees of
     freedom and 25 scales.
 
-    First a coarse grid over all of it, then four times the cells around the best one so far,
-    which differ by series: the likelihood has one peak.  Each is one aggregate of the rows;
+    First a coarse grid over all of it, then the cells around the best one so far, which
+    differ by series, until no series moves: the likelihood has one peak.  Each is one aggregate of the rows;
     rows are never multiplied by the grid, and a cell's constants are added afterwards.
     """
     e = edges(spark, d).where("ret IS NOT NULL").select(*KEYS, "ret")
@@ -296,12 +296,16 @@ def student_t_grid(spark: SparkSession, d: str) -> DataFrame:
 
     found = best(z, [F.lit(SCALES[j] * SCALES[j] * NUS[i]) for i, j in coarse], None)
     nu, scale = (F.array(*map(F.lit, v)) for v in (NUS, SCALES))
-    for shape in ((3, 2), (1, 1), (1, 1), (1, 1)):
+    shape, before = (3, 2), None
+    for _ in range(len(NUS) + len(SCALES)):  # as many steps as the grid is wide; a few are enough
+        if before is not None and found.join(before, [*KEYS, "i", "j"], "left_anti").isEmpty():
+            break
+        before = found if shape == (1, 1) else None
         move = lambda c, n, w: F.array(*(F.greatest(F.lit(0), F.least(F.lit(n - 1), F.col(c) + a * w)).cast("int") + 1 for a in range(-2, 3)))
         near = found.select(*KEYS, "i", "j", move("i", len(NUS), shape[0]).alias("ci"), move("j", len(SCALES), shape[1]).alias("cj"))
         near = near.select(*KEYS, "i", "j", F.transform("ci", lambda c: F.element_at(nu, c)).alias("ci"), F.transform("cj", lambda c: F.element_at(scale, c)).alias("cj"))
         q = [F.col("cj")[b] * F.col("cj")[b] * F.col("ci")[a] for a in range(5) for b in range(5)]
-        found = best(z.join(near, KEYS), q, shape)
+        found, shape = best(z.join(near, KEYS), q, shape), (1, 1)
     return found.select(*KEYS, F.element_at(nu, (F.col("i") + 1).cast("int")).alias("nu"), F.element_at(scale, (F.col("j") + 1).cast("int")).alias("scale"))
 
 
