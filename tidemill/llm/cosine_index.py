@@ -43,6 +43,13 @@ class Vectors:
         return Vectors(np.concatenate([[0], np.cumsum(n)]), self.code[at], self.weight[at])
 
 
+    @staticmethod
+    def joined(parts: list[Vectors]) -> Vectors:
+        """One after another, in the small types that an index keeps."""
+        n = np.concatenate([np.diff(v.first) for v in parts])
+        return Vectors(np.concatenate([[0], np.cumsum(n)]), np.concatenate([v.code.astype(np.int32) for v in parts]), np.concatenate([v.weight.astype(np.float32) for v in parts]))
+
+
 class Vocabulary:
     """Known terms and their inverse document frequency among ``documents``."""
 
@@ -94,12 +101,13 @@ class Index:
 
     def __init__(self, vectors: Vectors, terms: int):
         """``terms``: size of the vocabulary."""
-        owner = np.repeat(np.arange(len(vectors)), np.diff(vectors.first))
+        owner = np.repeat(np.arange(len(vectors), dtype=np.int32), np.diff(vectors.first))
         known = vectors.code >= 0
         owner, code, weight = owner[known], vectors.code[known], vectors.weight[known]
         self.n = len(vectors)
-        by = np.argsort(code * max(self.n, 1) + owner)
-        self.owner, self.weight = owner[by].astype(np.int32), weight[by].astype(np.float32)
+        by = np.argsort(code.astype(np.int64) * max(self.n, 1) + owner)
+        self.owner, self.weight = owner[by], weight[by].astype(np.float32)
+        del by, owner, weight
         self.first = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=terms))])
         blocks = -(-np.diff(self.first) // BLOCK)
         self.block = np.concatenate([[0], np.cumsum(blocks)])
@@ -225,7 +233,7 @@ class Index:
         of = np.repeat(np.arange(len(q)), np.diff(q.first))
         hit = np.flatnonzero(q.code >= 0)
         hit = hit[self.first[q.code[hit] + 1] > self.first[q.code[hit]]]
-        of, code, x = of[hit], q.code[hit], q.weight[hit]
+        of, code, x = of[hit], q.code[hit].astype(np.int64), q.weight[hit]
         top = x * self.top[code]
         bound = np.bincount(of, top, len(q))
         least = reach - 1e-6

@@ -30,8 +30,8 @@ REACH, NEIGHBOURS, POWER, PRIOR_WEIGHT = 0.35, 25, 2, 0.25
 MARKED, MARGIN, MOST_VOTES = 0.5, 0.15, 8
 #: Columns of a read table.
 WORDS, ENDS, TEXT = "__words", "__ends", "__text"
-#: Passages that are scored at once.
-AT_ONCE = 50_000
+#: Passages that are scored, and examples that are fitted at once.
+AT_ONCE, AT_FIT = 50_000, 20_000
 
 
 def _lists(rows: list[list[int]], kind: pa.DataType) -> pa.Array:
@@ -206,8 +206,11 @@ def fit(
     words = column("words")
     ends = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1), pa.int32()), pc.list_value_length(words))
     p = Pieces.of(words, ends, False)
-    t, of = p.terms()
-    terms = np.unique(t)
+    del words, ends
+    parts = np.array_split(np.arange(len(keys)), -(-len(keys) // AT_FIT))  # the driver holds the terms of some at a time
+    terms = np.zeros(0, dtype=np.int64)
+    for some in parts:
+        terms = np.union1d(terms, p.take(some).terms()[0])
     vocabulary = sc.broadcast(terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,10 +233,10 @@ def fit(
     df = np.zeros(len(terms), dtype=np.int64)
     df[at[at >= 0]] = n_[at >= 0]
     known = Vocabulary(terms, df, int(n_[at < 0].sum()))
-    vectors = known.vectors(t, of, len(keys))
+    vectors = Vectors.joined([known.vectors(*p.take(some).terms(), len(some)) for some in parts])
     base = sc.broadcast((known, Index(vectors, len(terms))))
-    docs = column("docs").to_pylist()
-    kept, score = _borne_out(base, p, positive, total, docs, prior, sc)
+    kept, score = _borne_out(base, p, positive, total, column("docs"), prior, sc)
+    del p
     votes = np.where(kept, positive, 0).astype(np.float64), np.where(kept | (positive == 0), total, np.maximum(total - positive, 0)).astype(np.float64)
     said = column("said")
     texts = {int(e): said[int(e)].as_py() for e in np.flatnonzero(kept)}
@@ -244,7 +247,7 @@ def fit(
     return Model(base, Index(alone, len(terms)) if kept.any() else None, keys, kept, score, votes, texts, used["doc"].to_numpy(), used["mark"].to_numpy(), prior)
 
 
-def _borne_out(base: Broadcast, p: Pieces, positive: np.ndarray, total: np.ndarray, docs: list[list[int]], prior: float, sc: SparkContext) -> tuple[np.ndarray, np.ndarray]:
+def _borne_out(base: Broadcast, p: Pieces, positive: np.ndarray, total: np.ndarray, docs: pa.Array, prior: float, sc: SparkContext) -> tuple[np.ndarray, np.ndarray]:
     """Which examples count as positive, and the others' votes: leave-one-out votes, then each
     marked document speaks only for its worst passages."""
     candidates = np.flatnonzero((positive * 2 >= total) & (positive > 0))
@@ -271,11 +274,12 @@ def _borne_out(base: Broadcast, p: Pieces, positive: np.ndarray, total: np.ndarr
     for es, s in sc.parallelize(pieces, len(pieces)).mapPartitions(votes).collect():
         score[es] = s
     worst: dict[int, float] = {}
-    for e in candidates.tolist():
-        for doc in docs[e]:
+    own = docs.take(pa.array(candidates)).to_pylist()
+    for e, ds in zip(candidates.tolist(), own):
+        for doc in ds:
             worst[doc] = max(worst.get(doc, 0.0), score[e])
-    for e in candidates.tolist():
-        speak = sum(score[e] >= worst[doc] - MARGIN for doc in docs[e])
+    for e, ds in zip(candidates.tolist(), own):
+        speak = sum(score[e] >= worst[doc] - MARGIN for doc in ds)
         kept[e] = score[e] >= MARKED and speak * 2 >= total[e]
     return kept, score
 
