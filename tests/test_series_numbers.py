@@ -119,3 +119,12 @@ def test_slots_change_nothing(spark):
             look = lambda slot: sorted((tuple(r) for r in J.asof(left, right, ["key"], "t", "at", ["v"], ["rank", "v"], max_age=age, forward=forward, slot=slot).collect()), key=str)  # noqa: E731, B023
             whole = look(None)
             assert len(whole) == 200 and all(look(slot) == whole for slot in (1.0, 30.0, 1e6))
+
+
+def test_rows_are_numbered_over_all_parts(spark):
+    rnd = random.Random(8)
+    rows = [(rnd.choice([None, *range(40)]), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a long, b long").repartition(7)
+    got = sorted((r.n, r.a, r.b) for r in Q.numbered(df, ["a", "b"], "n").collect())
+    assert [(a, b) for _, a, b in got] == sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1])) and [n for n, _, _ in got] == list(range(1, 3001))
+    assert Q.numbered(df.limit(0), ["a", "b"], "n").collect() == []
